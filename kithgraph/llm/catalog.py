@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("suffix_dedup", "pii", "exact_dedup", "packing", "near_dedup", "token_files", "html_text", "secrets", "quality", "decontaminate")
+MODULES = ("packing", "token_files")
 
 
 def queries() -> dict:
