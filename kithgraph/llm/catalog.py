@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "token_files")
+MODULES = ("exact_dedup", "packing", "token_files", "decontaminate")
 
 
 def queries() -> dict:

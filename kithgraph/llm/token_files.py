@@ -67,10 +67,10 @@ class _Writer:
         )
 
     def close(self) -> None:
-        self._flush(self.length)
-        rest = self.held[0]
-        if len(rest):
-            self._write(np.concatenate((rest, np.zeros(self.length - len(rest), self.dtype))), len(rest))
+        """What is left goes into one last batch, padded to whole sequences, so that every batch but it is full."""
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
+        if len(ids):
+            self._write(np.concatenate((ids, np.zeros(-len(ids) % self.length, self.dtype))), len(ids))
         self.file.close()
         self.stream.close()
 
@@ -101,12 +101,13 @@ class SequenceFile:
         out, step = [], BATCH_SEQUENCES * self.length
         while size > 0:
             view = self._values(start // step)[start % step :][:size]
+            if not len(view):
+                raise EOFError("the span ends beyond the file")
             out.append(view)
             start, size = start + len(view), size - len(view)
         return out
 
 
-
 def write_token_files(docs: DataFrame, folder: str, length: int = 2048, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
     """Write the files below folder (a URI that all executors see) and return the manifest, with the ids before each document in `start`."""
     spark = docs.sparkSession
