@@ -45,7 +45,9 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row."""
     items = cut(item_windows(benchmark, size), "windows")
-    held = cut(with_words(texts(docs), "doc_id").withColumn("_row", F.monotonically_increasing_id()), "words")
+    # words are kept as one string, which takes half the bytes of an array
+    lines = with_words(texts(docs), "doc_id").select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.array_join("words", " ").alias("line"))
+    held = cut(lines, "words").withColumn("words", F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " ")))
     vocabulary = items.select(F.explode("window").alias("word")).distinct()
     n_windows = items.count()
     small = (lambda d: F.broadcast(d)) if n_windows <= BROADCAST_WINDOWS else (lambda d: d)
@@ -60,7 +62,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     near = spots.join(small(prefix), "word").where((first >= 0) & (first + F.col("len") <= F.col("n_words")))
     # the words come back once per document, and are compared without a copy of them for each spot
     asked = near.groupBy("_row").agg(F.collect_list(F.struct(first.alias("first"), "len", "window")).alias("asked"))
-    equal = asked.join(held.select("_row", "words"), "_row").select("_row", F.filter("asked", lambda c: F.slice(F.col("words"), c["first"] + 1, c["len"]) == c["window"]).alias("f"))
+    equal = asked.join(held.select("_row", "line"), "_row").withColumn("words", F.split("line", " ")).select("_row", F.filter("asked", lambda c: F.slice(F.col("words"), c["first"] + 1, c["len"]) == c["window"]).alias("f"))
     found = cut(equal.select("_row", F.inline("f")), "found")
     covered = found.select("_row", F.explode(F.sequence("first", F.col("first") + F.col("len") - 1)).alias("pos")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
     named = found.select("_row", "window").distinct().join(small(items), "window").select("_row", F.col("item_id").cast("string").alias("item")).distinct()
