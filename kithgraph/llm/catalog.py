@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "packing", "near_dedup", "token_files", "quality", "decontaminate")
+MODULES = ("pii", "exact_dedup", "packing", "near_dedup", "token_files", "secrets", "quality", "decontaminate")
 
 
 def queries() -> dict:
