@@ -40,7 +40,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._kithgraph_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, df._kithgraph_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, chunks, cut, mix64, prefix_hash, span_hash, table, texts
+from .common import byte_view, chunks, cut, discard, mix64, prefix_hash, span_hash, table, texts
 
 SHINGLE = 4
 #: Bands of ROWS bins: a pair at similarity 0.8 misses all of them once in 20 million.
 BANDS, ROWS = 32, 4
 ROUNDS = 3
-_SCHEMA = "doc_id long, n_shingles long, set_hash long, shingles array<long>, bands array<long>"
+_SCHEMA = "doc_id long, n_shingles long, set_hash long, bands array<long>"
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -75,35 +75,53 @@ def one_permutation(hashes: np.ndarray, bins: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
+def _ragged(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
+
+
+def _name(found: np.ndarray) -> int:
+    """A 64-bit hash of a whole set; 0 for the empty one."""
+    return int(np.bitwise_xor.reduce(mix64(found + np.arange(1, len(found) + 1, dtype=np.uint64))).view(np.int64)) if len(found) else 0
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, the set's size and hash, its shingles and band keys."""
+    """Per row: doc_id, the set's size and hash, and its band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, limit=4 << 20):
                 flat, at = byte_view(batch.column(1))
-                sizes, names, sets, bands = [], [], [], []
+                sizes, names, bands = [], [], []
                 for i in range(len(at) - 1):
                     found = shingle_hashes(flat[at[i] : at[i + 1]].tobytes())
                     sizes.append(len(found))
-                    sets.append(found.view(np.int64))
                     if len(found):
                         sign = one_permutation(found).reshape(BANDS, ROWS)
                         key = np.full(BANDS, 0x51ED270B, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
                         for r in range(ROWS):
                             key = mix64(key ^ sign[:, r])
                         bands.append(key.view(np.int64))
-                        order = np.arange(1, len(found) + 1, dtype=np.uint64)
-                        names.append(int(np.bitwise_xor.reduce(mix64(found + order)).view(np.int64)))
                     else:
                         bands.append(np.zeros(0, np.int64))
-                        names.append(0)
-                ragged = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), ragged(sets), ragged(bands)], names=["doc_id", "n_shingles", "set_hash", "shingles", "bands"])
+                    names.append(_name(found))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), _ragged(bands)], names=["doc_id", "n_shingles", "set_hash", "bands"])
 
     return texts(docs).mapInArrow(sign, _SCHEMA)
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, set_hash, shingles) per row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, limit=4 << 20):
+                flat, at = byte_view(batch.column(1))
+                sets = [shingle_hashes(flat[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(s) for s in sets], pa.int64()), _ragged([s.view(np.int64) for s in sets])], names=["id", "set_hash", "shingles"])
+
+    return texts(docs).mapInArrow(run, "id long, set_hash long, shingles array<long>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of all nodes of edges (a, b), comp the smallest reachable id: large and small stars in turn until nothing changes.
 
@@ -133,13 +151,16 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
     signed = cut(signatures(docs), "signatures")
     filled = signed.where("n_shingles > 0")
     classes = cut(filled.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    # all rows of a class have its bands and shingles: those of its representative are taken
-    reps = filled.join(classes.select(F.col("id").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi")
-    reps = cut(reps.select(F.col("doc_id").alias("id"), "set_hash", "n_shingles", "shingles", "bands").dropDuplicates(["id", "set_hash"]).select("id", "n_shingles", "shingles", "bands"), "representatives")
-    entries = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    # all rows of a class have its bands: those of its representative are taken
+    reps = filled.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").join(classes, ["set_hash", "n_shingles"])
+    reps = reps.where(F.col("doc_id") == F.col("id")).dropDuplicates(["id", "set_hash"])
+    entries = cut(reps.select("id", "n_shingles", "set_hash", F.posexplode("bands").alias("band", "key")), "keys")
     shared = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key"), "shared")
-    entries = cut(entries.join(shared, ["band", "key"]), "entries")
-    sets = reps.select("id", "n_shingles", "shingles")
+    alone, entries = entries, cut(entries.join(shared, ["band", "key"]), "entries")
+    discard(alone, shared)
+    # whole sets only of those that share a bucket with another
+    asked = cut(entries.select("id", "set_hash").distinct(), "asked")
+    sets = cut(shingle_sets(docs.join(asked.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).join(asked, ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "shingles"), "sets")
     links, labels, tried = None, None, None
     for turn in range(ROUNDS):
         held = entries.withColumn("comp", F.col("id"))
@@ -149,21 +170,26 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
             held = held.join(open_, ["band", "key"])
         # the first order is one for all bands: copies of one text then meet the same few centres
         order = F.xxhash64(F.lit(turn), F.lit(0) if turn == 0 else F.col("band"), F.col("id"))
-        centres = held.groupBy("band", "key").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("comp").alias("cc")), order).alias("s")).select("band", "key", "s.c", "s.cc")
-        pairs = held.join(cut(centres, "stars"), ["band", "key"]).where("comp <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        centres = held.groupBy("band", "key").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("comp").alias("cc"), F.col("n_shingles").alias("nc")), order).alias("s")).select("band", "key", "s.*")
+        centres = cut(centres, "stars")
+        # sizes alone rule out most pairs of different texts
+        close = (F.col("comp") != F.col("cc")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * threshold)
+        up = F.col("id") < F.col("c")
+        size_a, size_b = F.when(up, F.col("n_shingles")).otherwise(F.col("nc")), F.when(up, F.col("nc")).otherwise(F.col("n_shingles"))
+        pairs = held.join(centres, ["band", "key"]).where(close).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), size_a.alias("na"), size_b.alias("nb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "candidates")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa")), "a")
-        # sizes alone rule out most pairs before the second set is fetched
-        sized = left.join(sets.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb")), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-        whole = sized.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        seen = pairs.select("a", "b")
+        tried = seen if tried is None else tried.unionByName(seen)
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        whole = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
         new = whole.where(both * 100 >= (F.col("na") + F.col("nb") - both) * threshold).select("a", "b")
         new = cut(new, "confirmed")
         links = new if links is None else links.unionByName(new)
         labels = cut(components(links), "components")
+    discard(entries, sets)
     ids = cut(classes.join(labels, "id", "left").select("set_hash", "n_shingles", F.coalesce("comp", "id").alias("component_id")), "class-components")
     out = signed.select("doc_id", "n_shingles", "set_hash").join(ids, ["set_hash", "n_shingles"], "left")
     comp = F.coalesce("component_id", F.col("doc_id"))
