@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept in a worker; the cache is emptied beyond this.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 300_000
 #: Longer words are encoded anew each time.
 CACHE_LENGTH = 48
 _TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
