@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, egonet, evaluation, features
+from ..operators import clusters, components, egonet, evaluation, features
 from ..sources.edges import co_purchase
 from ..streaming import incremental
 
@@ -82,6 +82,10 @@ def _stat_rollup(spark, d):
     return r.select("bucket", "metric", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+def _score_partition(spark, d):
+    return components.score_partition(egonet.degrees(_edges(spark, d)), _scores(spark, d).select("src", "dst", "w1"), min_score=6)
+
+
 def queries() -> dict:
     return {
         "edges_canonical": _edges,
@@ -96,6 +100,7 @@ def queries() -> dict:
         "cluster_stat_rollup": _stat_rollup,
         "friend_scores_full": _scores,
         "friend_topk": friend_topk,
+        "score_partition": _score_partition,
         "common_neighbor_score": lambda s, d: _labelled(s, d).select("src", "dst", F.round("score", 6).alias("score")),
         "link_auc_ap": lambda s, d: evaluation.link_metrics(_labelled(s, d)).select(F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision")),
         "precision_recall_at_k": lambda s, d: evaluation.precision_recall_at(_labelled(s, d), [1, 10, 100]).select("k", "evaluated_k", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall")),
@@ -132,6 +137,8 @@ cand AS (SELECT src, dst, 1 AS label FROM h UNION ALL SELECT DISTINCT src, dst +
 ta AS (SELECT src AS node, dst AS nbr FROM tr UNION ALL SELECT dst, src FROM tr), td AS (SELECT node, count(*) AS d FROM ta GROUP BY ALL),
 co AS (SELECT c.src, c.dst, count(*) AS n FROM cand c JOIN ta x ON x.node = c.src JOIN ta y ON y.node = c.dst AND y.nbr = x.nbr GROUP BY ALL),
 lb AS (SELECT c.src, c.dst, c.label, round(coalesce(co.n, 0) / sqrt(coalesce(p.d, 1) * coalesce(q.d, 1)), 9) AS score FROM cand c LEFT JOIN co USING (src, dst) LEFT JOIN td p ON p.node = c.src LEFT JOIN td q ON q.node = c.dst)"""
+    part = """pe AS (SELECT src, dst FROM sc WHERE w1 >= 6), pa AS (SELECT src AS u, dst AS v FROM pe UNION ALL SELECT dst, src FROM pe),
+pl(node, label) AS (SELECT DISTINCT u, u FROM pa UNION SELECT pa.v, pl.label FROM pl JOIN pa ON pa.u = pl.node WHERE pl.label < pa.v)"""
     of = lambda *parts, r="": f"WITH {r}" + ",\n".join(parts) + "\n"
     full = of(e, tri, ego, cc, st, sc, r="RECURSIVE ")
     stats = of(e, tri, ego, cc, st, r="RECURSIVE ")
@@ -150,6 +157,7 @@ lb AS (SELECT c.src, c.dst, c.label, round(coalesce(co.n, 0) / sqrt(coalesce(p.d
         "cluster_stat_rollup": stats + ", u AS (SELECT ego % 5 AS bucket, 'density' AS metric, density AS v FROM st UNION ALL SELECT ego % 5, 'conductance', conductance FROM st) SELECT bucket, metric, count(*) AS n, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std FROM u GROUP BY ALL",
         "friend_scores_full": full + "SELECT * FROM sc",
         "friend_topk": full + "SELECT src, dst, w1 FROM sc ORDER BY w1 DESC, src, dst LIMIT 20",
+        "score_partition": of(e, tri, ego, cc, st, sc, adj, part, r="RECURSIVE ") + "SELECT node, coalesce(min(label), node) AS community FROM (SELECT DISTINCT node FROM adj) LEFT JOIN pl USING (node) GROUP BY node",
         "common_neighbor_score": labelled + "SELECT src, dst, round(score, 6) AS score FROM lb",
         "link_auc_ap": labelled + ", g AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM lb GROUP BY score), r AS (SELECT p, n, sum(p) OVER o AS cp, sum(n) OVER o AS cn FROM g WINDOW o AS (ORDER BY score DESC)) SELECT round(sum(n * (cp - p) + 0.5 * n * p) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * cp / (cp + cn)) / sum(p), 6) AS average_precision FROM r",
         "precision_recall_at_k": labelled + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, src, dst) AS rn FROM lb) SELECT k::INT AS k, count(*) AS evaluated_k, round(sum(label) / count(*), 9) AS precision, round(sum(label) / (SELECT sum(label) FROM lb), 9) AS recall FROM r JOIN (VALUES (1), (10), (100)) v(k) ON rn <= k GROUP BY k",

@@ -38,3 +38,18 @@ def refresh(old: DataFrame, before: DataFrame, events: DataFrame) -> tuple[DataF
     new = mine.select(F.col("node").alias("ego"), F.col("nbr").alias("src")).join(after, "src").join(mine.select(F.col("node").alias("ego"), F.col("nbr").alias("dst")), ["ego", "dst"], "left_semi")
     kept = old.join(hit.withColumnRenamed("node", "ego"), "ego", "left_anti")
     return after, kept.unionByName(new.select("ego", "src", "dst"))
+
+
+def maintain(stream: DataFrame, state_dir: str, checkpoint: str):
+    """Start a streaming query that applies batches of (seq, action, src, dst) to the tables edges and ego_edges below state_dir.
+
+    A batch writes version batch + 1 from version batch; a batch that is run again writes the same version."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        read = lambda name: spark.read.parquet(f"{state_dir}/{name}/version={number}")
+        after, near = refresh(read("ego_edges"), read("edges"), batch)
+        after.write.mode("overwrite").parquet(f"{state_dir}/edges/version={number + 1}")
+        near.write.mode("overwrite").parquet(f"{state_dir}/ego_edges/version={number + 1}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

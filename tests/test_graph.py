@@ -58,6 +58,19 @@ def test_incremental_equals_rebuild(spark):
     assert rows(z) == rows(egonet.ego_edges(after))
 
 
+def test_stream(spark, tmp_path):
+    e = graph(spark, "u-a u-b u-c a-b b-c v-a v-b v-c")
+    e.write.parquet(str(tmp_path / "state/edges/version=0"))
+    egonet.ego_edges(e).write.parquet(str(tmp_path / "state/ego_edges/version=0"))
+    events = spark.createDataFrame([(1, "add", "v", "u"), (2, "remove", "a", "b")], "seq int, action string, src string, dst string")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    incremental.maintain(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(60)
+    after = spark.read.parquet(str(tmp_path / "state/edges/version=1"))
+    assert rows(after) == rows(incremental.apply_events(e, events))
+    assert rows(spark.read.parquet(str(tmp_path / "state/ego_edges/version=1")).select("ego", "src", "dst")) == rows(egonet.ego_edges(after))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "e.csv").write_text("source,target\n a ,b\nb,a\nc,c\n,d\n")
     assert rows(sources.read_csv(spark, str(tmp_path / "e.csv"))) == [("a", "b")]
