@@ -1,6 +1,7 @@
 """The text operators against brute force on awkward rows, and their SQL on the smallest tables."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -133,16 +134,20 @@ def test_secrets(docs, none):
     assert got[0].spans == "" and secrets.scan(none, secrets.infer(none)).count() == 0
 
 
-def test_automaton_tells_formats():
-    values = ["dhdh" * 6 for _ in range(50)] + ["hdhd" * 6 for _ in range(50)]
-    model = secrets.Automaton(values)
-    assert model.likelihood("dh" * 14) > secrets.MARGIN and model.likelihood("lUsd" * 6) < 0
+def test_automaton_accepts_unseen_strings_of_the_format_only():
+    draw = random.Random(1)
+    make = lambda n: "".join(draw.choice("ddddddddddhhhhhh") for _ in range(n))
+    model = secrets.Automaton([make(32) for _ in range(400)])
+    assert all(model.likelihood(make(32)) > secrets.MARGIN for _ in range(20))
+    # another alphabet, and a length that no credential has
+    assert model.likelihood("lUsd" * 8) < 0 and model.likelihood(make(40)) < 0
 
 
 def test_quality_held_out(spark):
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
-    scored = quality.score(d, quality.train(d, labels)).join(labels, "doc_id").where(quality.held_out(d["doc_id"]))
+    scored = quality.score(d, quality.train(d, labels)).join(labels, "doc_id")
+    scored = scored.where(quality.held_out(scored["doc_id"]))
     rows = scored.select("score", "quality").collect()
     assert sum((r.score >= quality.THRESHOLD) == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
 
