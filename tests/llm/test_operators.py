@@ -32,8 +32,9 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_suffix_dedup(docs, none):
-    got = by_id(suffix_dedup.remove_repeats(docs))
+@pytest.mark.parametrize("unit", [suffix_dedup.UNIT, 2])
+def test_suffix_dedup(docs, none, unit):
+    got = by_id(suffix_dedup.remove_repeats(docs, unit=unit, shard_bytes=1000))
     data = {i: (t or "").encode() for i, t in enumerate(TEXTS)}
     count = Counter(b[i : i + 200] for b in data.values() for i in range(len(b) - 199))
     for k, b in data.items():
@@ -46,6 +47,25 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_split_anchor(spark):
+    draw = random.Random(5)
+    noise = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    shared = noise(330)
+    texts = [noise(draw.randint(0, 250)) + shared[draw.randint(0, 40) : 330 - draw.randint(0, 40)] + noise(draw.randint(0, 250)) for _ in range(60)]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), unit=5, shard_bytes=3000))
+    count = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 199) if count[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+        assert bytes(got[k].kept_bytes).decode() == "".join(c for j, c in enumerate(t) if j not in gone)
+
+
+def test_suffix_array_of_random_symbols():
+    draw = random.Random(3)
+    for _ in range(60):
+        t = [*(draw.randint(1, draw.choice([1, 2, 20])) for _ in range(draw.randint(1, 200))), 0]
+        assert suffix_dedup.suffix_array(np.array(t, dtype=np.int16), len(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
 def test_pii(docs, none):
     got = by_id(pii.sanitise(docs))
     assert got[11].spans == "email:8:17,ip:18:26,phone:30:47"
