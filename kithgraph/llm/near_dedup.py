@@ -6,7 +6,9 @@ permutation; an empty bin takes the value of a bin that a universal hash of (bin
 rows are bucket keys. In a bucket, edges go from one centre to the others (a star), so there are
 no more candidates than bucket entries. Candidates are confirmed on whole sets. Later rounds
 choose other centres, each in its own order per band, and only for classes still in different components,
-so that a link which one centre hid is met by another.
+so that a link which one centre hid is met by another. Buckets that still hold several components after
+these rounds are open: all their classes go through an exact prefix-filtered join (rest_pairs), so no pair of
+different components that shares a bucket is left untested.
 
 Defined results: null and empty texts and texts of blanks have the empty set and are linked with nothing;
 shorter texts than a shingle are one shingle; repeated rows with one doc_id are one document to
@@ -146,6 +148,37 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
 
 
+def rest_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, na, nb): pairs that hold all links between classes (id, n_shingles, comp) of different components.
+
+    Shingles are ordered by their number of classes; those of one component only come first and are counted, not listed.
+    The first common shingle of a link stands within a prefix of both sets: as long as the overlap with a
+    set of equal size leaves for the smaller one, with any smaller set for the larger one."""
+    spread = classes.join(sets, "id").select("comp", F.explode("shingles").alias("shingle"))
+    common = spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("shingle", "n")
+    common = cut(common, "common-shingles")
+    # each row's shingles are dealt out by shingle and come back in order, as far as the prefix may reach
+    listed = cut(classes.join(sets, "id").select("id", F.explode("shingles").alias("shingle")).join(common, "shingle").select("id", "n", "shingle"), "listed")
+    ordered = listed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order")).join(classes, "id")
+    least = F.ceil(F.col("n_shingles") * threshold / 100)
+    own = F.col("n_shingles") - F.size("order")
+    reach = F.greatest(F.col("n_shingles") - least + 1 - own, F.lit(0)).cast("int")
+    prefix = ordered.select("id", "n_shingles", "comp", own.alias("own"), F.posexplode(F.slice("order", F.lit(1), reach)).alias("at", "s"))
+    prefix = cut(prefix.select("id", "n_shingles", "comp", (F.col("own") + F.col("at")).alias("at"), F.col("s.shingle").alias("shingle")), "prefixes")
+    small = prefix.where((F.col("n_shingles") - F.col("at")) * (100 + threshold) >= F.col("n_shingles") * (2 * threshold))
+    large = prefix.select("shingle", F.col("id").alias("c"), F.col("n_shingles").alias("nc"), F.col("comp").alias("cc"), F.col("at").alias("ac"))
+    first = (F.col("n_shingles") < F.col("nc")) | ((F.col("n_shingles") == F.col("nc")) & (F.col("id") < F.col("c")))
+    close = F.col("n_shingles") * 100 >= F.col("nc") * threshold
+    rest = F.least(F.col("n_shingles") - F.col("at"), F.col("nc") - F.col("ac"))
+    enough = rest * (100 + threshold) >= (F.col("n_shingles") + F.col("nc")) * threshold
+    pairs = small.join(large, "shingle").where((F.col("comp") != F.col("cc")) & first & close & enough)
+    up = F.col("id") < F.col("c")
+    size_a, size_b = F.when(up, F.col("n_shingles")).otherwise(F.col("nc")), F.when(up, F.col("nc")).otherwise(F.col("n_shingles"))
+    out = cut(pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), size_a.alias("na"), size_b.alias("nb")).distinct(), "rest-pairs")
+    discard(common, listed, prefix)
+    return out
+
+
 def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; links have a similarity of threshold hundredths at least."""
     signed = cut(signatures(docs), "signatures")
@@ -162,12 +195,24 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
     asked = cut(entries.select("id", "set_hash").distinct(), "asked")
     sets = cut(shingle_sets(docs.join(asked.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).join(asked, ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "shingles"), "sets")
     links, labels, tried = None, None, None
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        whole = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return cut(whole.where(both * 100 >= (F.col("na") + F.col("nb") - both) * threshold).select("a", "b"), "confirmed")
+
+    def opened() -> tuple[DataFrame, DataFrame]:
+        """All entries with their components, and the buckets that hold several."""
+        held = cut(entries.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
+        open_ = held.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "key")
+        return held, cut(open_, "open")
+
     for turn in range(ROUNDS):
-        held = entries.withColumn("comp", F.col("id"))
+        held, spent = entries.withColumn("comp", F.col("id")), ()
         if labels is not None:
-            held = cut(entries.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
-            open_ = cut(held.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "key"), "open")
-            held = held.join(open_, ["band", "key"])
+            spent = opened()
+            held = spent[0].join(spent[1], ["band", "key"])
         # the first order is one for all bands: copies of one text then meet the same few centres
         order = F.xxhash64(F.lit(turn), F.lit(0) if turn == 0 else F.col("band"), F.col("id"))
         centres = held.groupBy("band", "key").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("comp").alias("cc"), F.col("n_shingles").alias("nc")), order).alias("s")).select("band", "key", "s.*")
@@ -182,13 +227,16 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
         pairs = cut(pairs, "candidates")
         seen = pairs.select("a", "b")
         tried = seen if tried is None else tried.unionByName(seen)
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        whole = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        new = whole.where(both * 100 >= (F.col("na") + F.col("nb") - both) * threshold).select("a", "b")
-        new = cut(new, "confirmed")
+        new = confirm(pairs)
         links = new if links is None else links.unionByName(new)
         labels = cut(components(links), "components")
+        discard(centres, *spent)
+    held, open_ = opened()
+    rest = cut(held.join(open_, ["band", "key"]).select("id", "n_shingles", "comp").distinct(), "rest")
+    discard(held, open_)
+    if not rest.isEmpty():
+        new = confirm(rest_pairs(rest, sets, threshold).join(tried, ["a", "b"], "left_anti"))
+        labels = cut(components(links.unionByName(new)), "components")
     discard(entries, sets)
     ids = cut(classes.join(labels, "id", "left").select("set_hash", "n_shingles", F.coalesce("comp", "id").alias("component_id")), "class-components")
     out = signed.select("doc_id", "n_shingles", "set_hash").join(ids, ["set_hash", "n_shingles"], "left")

@@ -116,6 +116,28 @@ def test_near(docs, none):
     assert near_dedup.near_groups(none).count() == 0
 
 
+def test_near_links_of_texts_that_share_a_template(spark):
+    whole = " ".join(f"t{i}" for i in range(600))
+    own = lambda name, n: " ".join(f"{name}z{j}" for j in range(n))
+    rows = [(2 * i + q, f"{whole} {own(f'p{i}', 24)} {own(f'o{i}y{q}', 56)}") for i in range(150) for q in (0, 1)]
+    got = by_id(near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: r.component_id for k, r in got.items()} == {k: k - k % 2 for k in got}
+
+
+def test_rest_pairs_hold_all_links_of_different_components(spark):
+    draw = random.Random(7)
+    sets = {}
+    for k in range(200):
+        base = draw.sample(range(60), draw.randint(1, 40)) if k % 2 == 0 else sorted(sets[k - 1])
+        sets[k] = {x for x in base if draw.random() > 0.08} | set(draw.sample(range(60), draw.randint(0, 2))) or {k}
+    comp = {k: k - k % 7 for k in sets}
+    classes = spark.createDataFrame([(k, len(s), comp[k]) for k, s in sets.items()], "id long, n_shingles long, comp long")
+    lists = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "id long, shingles array<long>")
+    got = {(r.a, r.b) for r in near_dedup.rest_pairs(classes, lists, 80).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(links) > 10 and links <= got
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {(r.id, r.comp) for r in near_dedup.components(edges).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
