@@ -1,10 +1,10 @@
 """Personal data, and the terms that reveal it, by information-theoretic sanitisation.
 
-Base kinds are found by pattern. Around each found entity the terms within REACH characters are
-counted with it over the whole corpus: a term t discloses an entity e when the entity
-accounts for a share P(e | t) of the term's documents above SHARE, in at least SUPPORT
-documents with different contexts, and the information log2(P(e | t) / P(e)) exceeds BITS. Such terms near
-the entity are spans of the kind "term": they are to be generalised or removed with it. Only
+Base kinds are found by pattern. Terms are the runs of letters outside base spans, in lower case. They are
+counted with each entity over whole documents of the whole corpus: a term t discloses an entity e when
+the entity accounts for a share P(e | t) of the term's documents of SHARE at least, in at least SUPPORT
+documents, and the term carries information about it, log2(P(e | t) / P(e)) > 0. All occurrences of such a term,
+in any document, are spans of the kind "term": they are to be generalised or removed. Only
 DataFrame functions are used; counts are summed before they are shuffled.
 
 Positions are code points. Defined results: null and empty texts have no spans; repeated rows are
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Code points before and after an entity in which terms are judged.
-REACH = 48
-SUPPORT, SHARE, BITS = 4, 0.6, 6.0
+SUPPORT, SHARE = 4, 0.6
+_TERM = r"\p{L}+"
 # The patterns match what the documented ones do; possessive parts and the look-behind keep long runs from being tried again at each start.
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -35,9 +34,10 @@ _BYTE = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def positions(text: Column, pattern: str, shift: Column | None = None) -> Column:
+def positions(text: Column, pattern: str | Column, shift: Column | None = None) -> Column:
     """The matches of a pattern as (start, end, value): what stands between matches gives their places."""
-    found, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+    held = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, gaps = F.regexp_extract_all(text, held, F.lit(0)), F.split(text, held, -1)
     zero = F.struct((shift if shift is not None else F.lit(0)).cast("int").alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc, x):
@@ -89,32 +89,46 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return texts(docs).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", F.array_sort(F.concat(*of)).alias("spans"))
 
 
-def context_terms(found: DataFrame) -> DataFrame:
-    """(_row, entity, term, start, end): the words of three letters at least that lie whole within REACH of an entity."""
-    spans = found.where(F.size("spans") > 0).select("_row", "text", F.explode("spans").alias("s"))
-    low = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    before = F.substring("text", low + 1, F.col("s.start") - low)
-    after = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
-    word = r"(?<![\p{L}])[\p{L}]{3,}(?![\p{L}])"
-    near = spans.select("_row", F.xxhash64("s.value").alias("entity"), low.alias("low"), F.length(before).alias("nb"), F.length(after).alias("na"), positions(before, word, low).alias("b"), positions(after, word, F.col("s.end")).alias("a"), F.col("s.end").alias("e"))
-    # words that the window's border may cut are left out
-    b = F.filter("b", lambda w: (w["start"] > F.col("low")) | (F.col("low") == 0))
-    a = F.filter("a", lambda w: (w["end"] < F.col("e") + F.col("na")) | (F.col("na") < REACH))
-    return near.select("_row", "entity", F.explode(F.concat(b, a)).alias("w")).select("_row", "entity", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+def masked(found: DataFrame) -> DataFrame:
+    """Blanks in place of the spans, so that all other text stands where it did."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def step(acc, s):
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring("text", acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
 
-def disclosing(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, entity) whose co-occurrence over all documents discloses the entity."""
+    blank = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.size("spans") > 0, blank).otherwise(F.col("text")))
+
+
+def _words() -> Column:
+    """A masked text's distinct terms as they are written."""
+    return F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))
+
+
+def disclosing(found: DataFrame) -> DataFrame:
+    """The terms whose co-occurrence with some entity over all documents discloses it; texts are masked."""
     total = F.lit(float(max(1, found.count())))
-    pair = terms.select("_row", "entity", "term").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te"))
-    pair = cut(pair.where(F.col("n_te") >= SUPPORT), "term-entities")
-    entities = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
+    words = F.array_distinct(F.transform(_words(), lambda w: F.lower(w)))
+    values = F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))).alias("entity")
+    holding = found.where(F.size("spans") > 0)
+    # an entity in fewer documents cannot reach the support with any term
+    entities = cut(holding.select(values).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
+    pair = holding.select(values, "text").join(entities, "entity").select("entity", "n_e", F.explode(words).alias("term"))
+    pair = cut(pair.groupBy("term", "entity", "n_e").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "term-entities")
     asked = cut(pair.select("term").distinct(), "terms")
-    frequency = found.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term", "left_semi")
-    share = F.col("n_te") / F.greatest("n_t", "n_te")
-    bits = F.log2(share * total / F.col("n_e"))
-    return pair.join(frequency, "term").join(entities, "entity").where((share >= SHARE) & (bits >= BITS)).select("term", "entity")
+    frequency = found.select(F.explode(words).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    share = F.col("n_te") / F.col("n_t")
+    return pair.join(frequency, "term").where((share >= SHARE) & (share * total > F.col("n_e"))).select("term").distinct()
+
+
+def term_spans(found: DataFrame, bad: DataFrame) -> DataFrame:
+    """(_row, extra): all places of the terms in the masked texts that hold any."""
+    spelled = found.select("_row", F.explode(_words()).alias("word")).withColumn("term", F.lower("word")).join(bad, "term", "left_semi")
+    spelled = spelled.groupBy("_row").agg(F.array_sort(F.collect_list("word")).alias("w"))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("w", "|"), F.lit(r")(?!\p{L})"))
+    places = positions(F.col("text"), pattern)
+    return found.select("_row", "text").join(spelled, "_row").select("_row", F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"))).alias("extra"))
 
 
 def _joined(spans: Column) -> Column:
@@ -124,11 +138,9 @@ def _joined(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) per row."""
-    found = cut(base_spans(docs), "personal")
-    terms = cut(context_terms(found), "context")
-    bad = cut(disclosing(found, terms), "disclosing")
-    extra = terms.join(bad, ["term", "entity"], "left_semi").select("_row", "start", "end").distinct()
-    extra = extra.groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("extra"))
+    found = cut(masked(base_spans(docs)), "personal")
+    bad = cut(disclosing(found), "disclosing")
+    extra = term_spans(found, bad)
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     out = found.select("_row", "doc_id", plain.alias("base")).join(extra, "_row", "left")
     more = F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))

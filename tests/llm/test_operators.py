@@ -80,6 +80,19 @@ def test_pii_terms_that_disclose(spark):
     assert "term:8:14" in got[0].spans and got[100].spans == ""
 
 
+def test_pii_terms_anywhere(spark):
+    far = " pad" * 100
+    rows = [(i, f"Zorbal opens {i}{far} z@q.io now") for i in range(6)] + [(50, "here zorbal is, ZORBAL and zorbals")] + [(100 + i, f"pad opens plain now {i}") for i in range(100)]
+    got = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[0].spans == "term:0:6,email:415:421" and got[50].spans == "term:5:11,term:16:22" and got[100].spans == ""
+
+
+def test_pii_terms_of_a_frequent_entity(spark):
+    rows = [(i, f"Mira {i} z@q.io calls") for i in range(20)] + [(100 + i, f"plain calls {i}") for i in range(40)]
+    got = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[0].spans, got[100].spans) == ("term:0:4,email:7:13", "")
+
+
 def test_exact(docs, none):
     got = by_id(exact_dedup.exact_groups(docs))
     assert (got[1].keep_id, got[0].group_size, got[7].keep_id, got[7].kept, got[6].kept) == (0, 2, 6, False, True)
