@@ -3,11 +3,12 @@
 The automaton is a prefix tree of the credentials' character classes whose
 compatible states are merged: two states are compatible when the frequencies of
 their endings and of each symbol differ by less than the Hoeffding bound allows, and so do
-the states that follow. All candidate strings (CANDIDATE) are then scored by the mean log
-likelihood per symbol, less that of five equally likely classes; candidates above MARGIN that
-touch no base span are spans of the kind "format".
+the states that follow. All runs over the credentials' alphabet (CANDIDATE) are then scored by the mean log
+likelihood per symbol, less that of five equally likely classes; runs above MARGIN that
+touch no base span are spans of the kind "format". A run with dots that is none is scored part by part.
 
-The inference reads at most MAX_LABELLED distinct credentials, those with the smallest hash.
+All distinct credentials are counted by class pattern. A format is a length and a set of classes; the inference reads
+all formats, of each at most MAX_LABELLED patterns, those with the smallest hash, which stand for the others by weight.
 
 Positions are code points. Defined results: null and empty texts have no spans; repeated rows are rows
 each; with no credentials nothing is added; an empty table gives no rows; only doc_id and text are read.
@@ -18,15 +19,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import cut, table, texts
 
 MAX_LABELLED = 2000
+#: Parts in which a format's patterns are ranked before all of it is.
+PARTS = 32
 #: Nats per symbol by which the automaton must explain a candidate better than its classes do.
 MARGIN = 0.15
 ALPHA = 0.05
@@ -34,7 +38,8 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_PART = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 _CLASSES = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U"), **dict.fromkeys("+/_.=-", "s")})
 
 
@@ -49,16 +54,16 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 class Automaton:
     """States with counts of arrivals, endings and (symbol, next state) pairs."""
 
-    def __init__(self, samples: list[str], alpha: float = ALPHA):
+    def __init__(self, samples: list[str], alpha: float = ALPHA, weights: list[int] | None = None):
         self.arrive, self.end, self.next = [0], [0], [{}]
         self.alpha = alpha
-        for text in samples:
-            self._add(text)
+        for text, n in zip(samples, weights or [1] * len(samples), strict=True):
+            self._add(text, n)
         self._merge_all()
 
-    def _add(self, text: str) -> None:
+    def _add(self, text: str, n: int = 1) -> None:
         at = 0
-        self.arrive[0] += 1
+        self.arrive[0] += n
         for c in text:
             if c not in self.next[at]:
                 self.next[at][c] = [len(self.arrive), 0]
@@ -66,10 +71,10 @@ class Automaton:
                 self.end.append(0)
                 self.next.append({})
             step = self.next[at][c]
-            step[1] += 1
+            step[1] += n
             at = step[0]
-            self.arrive[at] += 1
-        self.end[at] += 1
+            self.arrive[at] += n
+        self.end[at] += n
 
     def _differ(self, f: int, n: int, g: int, m: int) -> bool:
         return abs(f / n - g / m) > math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -136,15 +141,20 @@ class Automaton:
         return total / max(1, len(text))
 
 
+def _explained(m: re.Match, base: list, model: Automaton) -> bool:
+    free = all(s >= m.end() or m.start() >= e for s, _, e, _ in base)
+    return free and model.likelihood(m[0].translate(_CLASSES)) >= MARGIN
+
+
 def spans_of(text: str, model: Automaton | None) -> tuple[list, list]:
     base = base_spans(text)
     more = []
     if model is not None:
         for m in CANDIDATE.finditer(text):
-            if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]) or any(s < m.end() and m.start() < e for s, _, e, _ in base):
-                continue
-            if model.likelihood(m[0].translate(_CLASSES)) >= MARGIN:
+            if _explained(m, base, model):
                 more.append((m.start(), len(KINDS), m.end(), m[0]))
+            elif "." in m[0]:
+                more += [(p.start(), len(KINDS), p.end(), p[0]) for p in _PART.finditer(text, m.start(), m.end()) if _explained(p, base, model)]
     return base, more
 
 
@@ -156,9 +166,21 @@ def infer(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Automaton | None
             found = sorted({s[3] for t in batch.column(1).to_pylist() for s in base_spans(t)})
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
 
-    values = texts(docs).mapInArrow(credentials, "value string").distinct().orderBy(F.xxhash64("value"), "value").limit(max_labelled)
-    found = sorted(r.value.translate(_CLASSES) for r in values.collect())
-    return Automaton(found) if found else None
+    values = texts(docs).mapInArrow(credentials, "value string").distinct()
+    pattern = F.translate("value", "".join(map(chr, _CLASSES)), "".join(_CLASSES.values()))
+    patterns = values.select(pattern.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    classes = F.concat(*(F.when(F.col("pattern").contains(c), c).otherwise("") for c in "dhlUs"))
+    patterns = cut(patterns.withColumns({"length": F.length("pattern"), "classes": classes, "hash": F.xxhash64("pattern")}), "patterns")
+    total = patterns.groupBy("length", "classes").agg(F.sum("n").alias("total"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("length", "classes", *keys).orderBy("hash", "pattern"))
+    first = patterns.withColumn("part", F.pmod("hash", F.lit(PARTS))).withColumn("rank", rank("part")).where(F.col("rank") <= max_labelled)
+    rows = first.withColumn("rank", rank()).where(F.col("rank") <= max_labelled).join(total, ["length", "classes"]).select("length", "classes", "pattern", "n", "total").collect()
+    held = Counter()
+    for r in rows:
+        held[r.length, r.classes] += r.n
+    # counts of the patterns that were read are raised to their format's
+    found = sorted((r.pattern, max(1, round(r.n * r.total / held[r.length, r.classes]))) for r in rows)
+    return Automaton([p for p, _ in found], weights=[n for _, n in found]) if found else None
 
 
 def scan(docs: DataFrame, model: Automaton | None) -> DataFrame:

@@ -197,6 +197,26 @@ def test_automaton_accepts_unseen_strings_of_the_format_only():
     assert model.likelihood("lUsd" * 8) < 0
 
 
+def test_short_and_dotted_secrets_are_scored():
+    draw = random.Random(2)
+    of = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    make = [lambda: of("0123456789", 8), lambda: of("GHJKLMNP", 12), lambda: of("ghijklm", 5) + "." + of("ghijklm", 7)]
+    model = secrets.Automaton([m().translate(secrets._CLASSES) for m in make for _ in range(300)])
+    for m in make:
+        value = m()
+        assert secrets.spans_of(f"see {value} there", model)[1] == [(4, 3, 4 + len(value), value)]
+    value = make[0]()
+    assert secrets.spans_of(f"see {value}.", model)[1] == [(4, 3, 4 + len(value), value)]
+
+
+def test_sample_keeps_rare_formats(spark):
+    draw = random.Random(4)
+    hexes = ["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    rows = [(i, h) for i, h in enumerate(hexes)] + [(1000, "token = GGGGGGG.HHHHHHH")]
+    model = secrets.infer(spark.createDataFrame(rows, "doc_id long, text string"), 20)
+    assert model.likelihood("UUUUUUUsUUUUUUU") > -np.inf and model.arrive[0] >= 290
+
+
 def test_quality_held_out(spark):
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
