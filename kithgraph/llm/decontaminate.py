@@ -3,10 +3,12 @@
 A window is WINDOW consecutive words of an item, its token set the (word, repetition)
 pairs. A document window of the same length equals it when all tokens are shared, so the containment
 threshold is 1 and the necessary prefix of a window in order of rarity is its one rarest word. Rarity
-is counted over all documents. Document words are joined with these prefix words (a
-table no larger than the benchmark's windows), the positional bound fixes where the window must
-begin and end, a bound on length drops what would pass the text's ends, and the words are
-then compared exactly. Only DataFrame functions are used.
+is counted over all documents. Document words are joined with these prefix words, the positional bound
+fixes where the window must begin and end, a bound on length drops what would pass the text's ends, the
+next rarest word must stand at its own place, and only then are the words compared, one by one and exactly.
+All of this happens where a document's words were split: no text is shuffled for it. The windows are joined
+in blocks of at most BLOCK_WINDOWS, so that what is sent to all executors has a bound. Only DataFrame
+functions are used.
 
 Defined results: null and empty texts have no words; items without words have no window; a window of an
 item shorter than WINDOW words is the whole item; repeated documents are rows each; an empty
@@ -16,58 +18,76 @@ benchmark leaves all documents clean; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, texts
 
 #: Words that an item's window has.
 WINDOW = 10
-#: Windows up to this number are sent to all executors, counted first; beyond it the join is shuffled.
-BROADCAST_WINDOWS = 200_000
-_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Windows that are sent to all executors at once; more are joined in further passes over the words.
+BLOCK_WINDOWS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != " ")
 
 
-def with_words(df: DataFrame, key: str) -> DataFrame:
-    """(key, words): all words, A to Z in lower case."""
-    return df.select(key, F.regexp_extract_all(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0)).alias("words"))
+def line_of(text: Column) -> Column:
+    """All words, A to Z in lower case, with one blank between them: letters and digits of ASCII and all beyond it make words."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(words, n): the distinct windows of all items."""
-    w = with_words(benchmark, "item_id").where(F.size("words") > 0)
+    """(item_id, window): the windows of all items."""
+    w = benchmark.select("item_id", line_of(F.col("text")).alias("line")).where("line <> ''").select("item_id", F.split("line", " ").alias("words"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("window"))
 
 
+def prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(wid, window, word, at, next_word, next_at) of (wid, window): the two rarest words with their places; of a window of one word, that word twice."""
+    tokens = windows.select("wid", F.posexplode("window").alias("at", "word")).join(rarity, "word", "left").fillna(0, ["n"])
+    order = F.array_sort(F.collect_list(F.struct("n", "word", "at")))
+    two = tokens.groupBy("wid").agg(order.alias("o")).select("wid", F.col("o")[0].alias("p"), F.coalesce(F.get("o", F.lit(1)), F.col("o")[0]).alias("q"))
+    return windows.join(two, "wid").select("wid", "window", F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.col("q.word").alias("next_word"), F.col("q.at").alias("next_at"))
+
+
+def equal_windows(held: DataFrame, block: DataFrame) -> DataFrame:
+    """(_row, first, len, wid): the places of a block of windows in lines of words."""
+    # an outer explode needs no check for empty arrays, for which the words would be split anew
+    spots = held.select("_row", "n_words", F.split("line", " ").alias("words"))
+    spots = spots.select("_row", "n_words", "words", F.posexplode_outer("words").alias("pos", "word"))
+    first, size = F.col("pos") - F.col("at"), F.size("window")
+    inside = (first >= 0) & (first + size <= F.col("n_words"))
+    near = F.get("words", first + F.col("next_at")) == F.col("next_word")
+    same = F.slice("words", F.greatest(first, F.lit(0)) + 1, size) == F.col("window")
+    return spots.join(F.broadcast(block), "word").where(inside & near & same).select("_row", first.alias("first"), size.alias("len"), "wid")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row."""
     items = cut(item_windows(benchmark, size), "windows")
+    distinct = cut(items.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()), "distinct-windows")
     # words are kept as one string, which takes half the bytes of an array
-    lines = with_words(texts(docs), "doc_id").select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.array_join("words", " ").alias("line"))
-    held = cut(lines, "words").withColumn("words", F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " ")))
-    vocabulary = items.select(F.explode("window").alias("word")).distinct()
-    n_windows = items.count()
-    small = (lambda d: F.broadcast(d)) if n_windows <= BROADCAST_WINDOWS else (lambda d: d)
+    lines = texts(docs).select(F.monotonically_increasing_id().alias("_row"), "doc_id", line_of(F.col("text")).alias("line"))
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    held = cut(lines.select("_row", "doc_id", "line", F.when(F.col("line") == "", 0).otherwise(blanks + 1).alias("n_words")), "words")
+    blocks = -(-distinct.count() // BLOCK_WINDOWS)
     # a word's rarity: its number of occurrences in all documents, summed before the shuffle
-    rarity = held.select(F.explode("words").alias("word")).join(small(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    distinct = items.select("window").distinct().withColumn("wid", F.xxhash64("window"))
-    tokens = distinct.select("window", F.posexplode("window").alias("at", "word")).join(small(rarity), "word", "left").fillna(0, ["n"])
-    prefix = tokens.groupBy("window").agg(F.min(F.struct("n", "word", "at")).alias("p")).select("window", F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.size("window").alias("len"))
-    prefix = cut(prefix, "prefixes")
-    spots = held.select("_row", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
-    first = F.col("pos") - F.col("at")
-    near = spots.join(small(prefix), "word").where((first >= 0) & (first + F.col("len") <= F.col("n_words")))
-    # the words come back once per document, and are compared without a copy of them for each spot
-    asked = near.groupBy("_row").agg(F.collect_list(F.struct(first.alias("first"), "len", "window")).alias("asked"))
-    equal = asked.join(held.select("_row", "line"), "_row").withColumn("words", F.split("line", " ")).select("_row", F.filter("asked", lambda c: F.slice(F.col("words"), c["first"] + 1, c["len"]) == c["window"]).alias("f"))
-    found = cut(equal.select("_row", F.inline("f")), "found")
+    vocabulary = distinct.select(F.explode("window").alias("word")).distinct()
+    small = (lambda d: F.broadcast(d)) if blocks <= 1 else (lambda d: d)
+    rarity = cut(held.select(F.explode_outer(F.split("line", " ")).alias("word")).join(small(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")), "rarity")
+    ready = cut(prefixes(distinct, rarity).withColumn("block", F.pmod(F.xxhash64("wid"), F.lit(max(1, blocks)))), "prefixes")
+    each = [cut(equal_windows(held, ready.where(F.col("block") == b).drop("block")), "found") for b in range(max(1, blocks))]
+    found = reduce(DataFrame.unionByName, each)
     covered = found.select("_row", F.explode(F.sequence("first", F.col("first") + F.col("len") - 1)).alias("pos")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
-    named = found.select("_row", "window").distinct().join(small(items), "window").select("_row", F.col("item_id").cast("string").alias("item")).distinct()
+    which = items.join(distinct, "window").select("wid", F.col("item_id").cast("string").alias("item"))
+    named = found.select("_row", "wid").distinct().join(small(which), "wid").select("_row", "item").distinct()
     listed = named.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    whole = held.select("_row", "doc_id", F.size("words").cast("long").alias("n_words")).join(covered, "_row", "left").join(listed, "_row", "left")
+    hit = cut(covered.join(listed, "_row"), "hit")
+    whole = held.select("_row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(hit, "_row", "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 

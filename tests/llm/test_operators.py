@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 from kithgraph.llm import catalog, decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, secrets, suffix_dedup, token_files
 from kithgraph.llm.common import fresh_path
@@ -253,6 +254,31 @@ def test_decontaminate(spark, docs, none):
     assert not any(r.contaminated for r in decontaminate.hits(docs, bench.where("false")).collect())
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 7])
+def test_decontaminate_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    draw = random.Random(9)
+    say = lambda n: "".join(draw.choice(["aa", "Aa", "b", "c1", "É", "é", "ß"]) + draw.choice([" ", ",  ", "\n", "-\x00", "_"]) for _ in range(n))
+    texts = [say(draw.choice([0, 1, 5, 60])) for _ in range(40)]
+    texts += texts[:5]  # repeated rows
+    items = [say(draw.choice([0, 1, 2, 3, 12])) for _ in range(12)]
+    words = lambda t: regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, words string")
+    got = by_id(decontaminate.hits(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_hit int"), bench, 3))
+    for k, t in enumerate(texts):
+        w, hit, found = words(t), set(), set()
+        for i, item in enumerate(items):
+            b = words(item)
+            for j in range(max(len(b) - 2, 1) if b else 0):
+                win = b[j : j + 3]
+                for at in range(len(w) - len(win) + 1):
+                    if w[at : at + len(win)] == win:
+                        hit |= set(range(at, at + len(win)))
+                        found.add(str(i))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (got[k].n_words, got[k].n_hit, got[k].n_items, got[k].items_sha256) == (len(w), len(hit), len(found), digest)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
