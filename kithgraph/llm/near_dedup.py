@@ -4,11 +4,10 @@ A document's set is its distinct shingles of 4 words as 64-bit hashes. Documents
 with one set are one class, represented by the smallest doc_id. A class has one minimum per bin of one hash
 permutation; an empty bin takes the value of a bin that a universal hash of (bin, attempt) picks. Bands of
 rows are bucket keys. In a bucket, edges go from one centre to the others (a star), so there are
-no more candidates than bucket entries. Candidates are confirmed on whole sets. Later rounds
-choose other centres, each in its own order per band, and only for classes still in different components,
-so that a link which one centre hid is met by another. Buckets that still hold several components after
-these rounds are open: all their classes go through an exact prefix-filtered join (rest_pairs), so no pair of
-different components that shares a bucket is left untested.
+no more candidates than bucket entries. Candidates are confirmed on whole sets. Buckets that then still
+hold several components are open: a link between two members that the centre is no part of may be hidden in them. All
+classes of open buckets go through an exact prefix-filtered join (rest_pairs), so no pair of
+different components that shares a bucket is left untested, however large the bucket is.
 
 Defined results: null and empty texts and texts of blanks have the empty set and are linked with nothing;
 shorter texts than a shingle are one shingle; repeated rows with one doc_id are one document to
@@ -31,7 +30,6 @@ from .common import byte_view, chunks, cut, discard, mix64, prefix_hash, span_ha
 SHINGLE = 4
 #: Bands of ROWS bins: a pair at similarity 0.8 misses all of them once in 20 million.
 BANDS, ROWS = 32, 4
-ROUNDS = 3
 _SCHEMA = "doc_id long, n_shingles long, set_hash long, bands array<long>"
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -136,10 +134,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "centres")
         large = near.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         large = cut(large, "large")
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        down = cut(down, "minima")
+        down = cut(large.groupBy("b").agg(F.min("a").alias("m")), "minima")
         small = large.join(down, "b").select(F.inline(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))))
-        now = cut(small.where("a < b").distinct(), "links")
+        spent, now = (now, least, large, down), cut(small.where("a < b").distinct(), "links")
+        discard(*spent)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -194,7 +192,6 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
     # whole sets only of those that share a bucket with another
     asked = cut(entries.select("id", "set_hash").distinct(), "asked")
     sets = cut(shingle_sets(docs.join(asked.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).join(asked, ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "shingles"), "sets")
-    links, labels, tried = None, None, None
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -202,41 +199,25 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
         return cut(whole.where(both * 100 >= (F.col("na") + F.col("nb") - both) * threshold).select("a", "b"), "confirmed")
 
-    def opened() -> tuple[DataFrame, DataFrame]:
-        """All entries with their components, and the buckets that hold several."""
-        held = cut(entries.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
-        open_ = held.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "key")
-        return held, cut(open_, "open")
-
-    for turn in range(ROUNDS):
-        held, spent = entries.withColumn("comp", F.col("id")), ()
-        if labels is not None:
-            spent = opened()
-            held = spent[0].join(spent[1], ["band", "key"])
-        # the first order is one for all bands: copies of one text then meet the same few centres
-        order = F.xxhash64(F.lit(turn), F.lit(0) if turn == 0 else F.col("band"), F.col("id"))
-        centres = held.groupBy("band", "key").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("comp").alias("cc"), F.col("n_shingles").alias("nc")), order).alias("s")).select("band", "key", "s.*")
-        centres = cut(centres, "stars")
-        # sizes alone rule out most pairs of different texts
-        close = (F.col("comp") != F.col("cc")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * threshold)
-        up = F.col("id") < F.col("c")
-        size_a, size_b = F.when(up, F.col("n_shingles")).otherwise(F.col("nc")), F.when(up, F.col("nc")).otherwise(F.col("n_shingles"))
-        pairs = held.join(centres, ["band", "key"]).where(close).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), size_a.alias("na"), size_b.alias("nb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "candidates")
-        seen = pairs.select("a", "b")
-        tried = seen if tried is None else tried.unionByName(seen)
-        new = confirm(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = cut(components(links), "components")
-        discard(centres, *spent)
-    held, open_ = opened()
+    # one order for all bands: copies of one text then meet the same few centres
+    centre = F.min_by(F.struct(F.col("id").alias("c"), F.col("n_shingles").alias("nc")), F.xxhash64("id")).alias("s")
+    centres = cut(entries.groupBy("band", "key").agg(centre).select("band", "key", "s.*"), "stars")
+    # sizes alone rule out most pairs of different texts
+    close = (F.col("id") != F.col("c")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * threshold)
+    up = F.col("id") < F.col("c")
+    size_a, size_b = F.when(up, F.col("n_shingles")).otherwise(F.col("nc")), F.when(up, F.col("nc")).otherwise(F.col("n_shingles"))
+    pairs = entries.join(centres, ["band", "key"]).where(close).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), size_a.alias("na"), size_b.alias("nb")).distinct()
+    pairs = cut(pairs, "candidates")
+    links = confirm(pairs)
+    labels = cut(components(links), "components")
+    held = cut(entries.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("band", "key", "id", "n_shingles", "comp"), "labelled")
+    open_ = held.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "key")
     rest = cut(held.join(open_, ["band", "key"]).select("id", "n_shingles", "comp").distinct(), "rest")
-    discard(held, open_)
+    discard(centres, held)
     if not rest.isEmpty():
-        new = confirm(rest_pairs(rest, sets, threshold).join(tried, ["a", "b"], "left_anti"))
-        labels = cut(components(links.unionByName(new)), "components")
+        new = confirm(rest_pairs(rest, sets, threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            labels = cut(components(links.unionByName(new)), "components")
     discard(entries, sets)
     ids = cut(classes.join(labels, "id", "left").select("set_hash", "n_shingles", F.coalesce("comp", "id").alias("component_id")), "class-components")
     out = signed.select("doc_id", "n_shingles", "set_hash").join(ids, ["set_hash", "n_shingles"], "left")
