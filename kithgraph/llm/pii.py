@@ -1,14 +1,16 @@
 """Personal data, and the terms that reveal it, by information-theoretic sanitisation.
 
 Base kinds are found by pattern. Terms are the runs of letters outside base spans, in lower case. They are
-counted with each entity over whole documents of the whole corpus: a term t discloses an entity e when
-the entity accounts for a share P(e | t) of the term's documents of SHARE at least, in at least SUPPORT
-documents, and the term carries information about it, log2(P(e | t) / P(e)) > 0. All occurrences of such a term,
-in any document, are spans of the kind "term": they are to be generalised or removed. Only
-DataFrame functions are used; counts are summed before they are shuffled.
+counted with each entity over whole documents of the whole corpus, a text and its copies being one context:
+a term t discloses an entity e when the entity accounts for a share P(e | t) of the term's contexts of SHARE
+at least, in at least SUPPORT contexts, and the term carries information about it, log2(P(e | t) / P(e)) > 0.
+All occurrences of such a term, in any document, are spans of the kind "term". The sanitised text has the kind in
+place of a base span (generalised) and nothing in place of a term (removed). Only DataFrame functions are used; counts
+are summed before they are shuffled.
 
 Positions are code points. Defined results: null and empty texts have no spans; repeated rows are
-rows each; an empty table gives no rows; columns other than doc_id and text are not read.
+rows each; copies of one text alone never make a term; an empty table gives no rows; columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ _TERM = r"\p{L}+"
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    # fewer than 14 digits would fail: such runs are not listed
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -103,21 +106,27 @@ def masked(found: DataFrame) -> DataFrame:
 
 def _words() -> Column:
     """A masked text's distinct terms as they are written."""
-    return F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))
+    return F.array_remove(F.array_distinct(F.split("text", r"\P{L}+")), "")
 
 
 def disclosing(found: DataFrame) -> DataFrame:
-    """The terms whose co-occurrence with some entity over all documents discloses it; texts are masked."""
-    total = F.lit(float(max(1, found.count())))
+    """The terms whose co-occurrence with some entity over all contexts discloses it; texts are masked."""
+    values = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))
+    context = F.xxhash64("text", values)
+    total = F.lit(float(max(1, found.select(context.alias("c")).distinct().count())))
     words = F.array_distinct(F.transform(_words(), lambda w: F.lower(w)))
-    values = F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))).alias("entity")
+    # a context is represented by one of its rows, so that a hot text's copies are never spread out
     holding = found.where(F.size("spans") > 0)
-    # an entity in fewer documents cannot reach the support with any term
-    entities = cut(holding.select(values).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
-    pair = holding.select(values, "text").join(entities, "entity").select("entity", "n_e", F.explode(words).alias("term"))
+    least = cut(holding.select("_row", context.alias("c")).groupBy("c").agg(F.min("_row").alias("_row")).select("_row"), "contexts")
+    holding = holding.join(least, "_row", "left_semi").select("text", F.explode(values).alias("entity"))
+    # an entity in fewer contexts cannot reach the support with any term
+    entities = cut(holding.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
+    pair = holding.join(entities, "entity").select("entity", "n_e", F.explode(words).alias("term"))
     pair = cut(pair.groupBy("term", "entity", "n_e").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "term-entities")
+    if pair.isEmpty():
+        return pair.select("term")
     asked = cut(pair.select("term").distinct(), "terms")
-    frequency = found.select(F.explode(words).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    frequency = found.select(context.alias("c"), F.explode(words).alias("term")).join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.col("n_te") / F.col("n_t")
     return pair.join(frequency, "term").where((share >= SHARE) & (share * total > F.col("n_e"))).select("term").distinct()
 
@@ -136,20 +145,42 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def sanitised(text: Column, spans: Column) -> Column:
+    """The text with [KIND] for each base span and without the terms; spans are (start, kind, end) in order, and of overlapping ones what is left of the later counts."""
+    tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS), F.lit(""))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        tag = F.when(end > start, F.element_at(tags, s["kind"] + 1)).otherwise("")
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), tag).alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) per row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, sanitised) per row."""
     found = cut(masked(base_spans(docs)), "personal")
     bad = cut(disclosing(found), "disclosing")
-    extra = term_spans(found, bad)
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    out = found.select("_row", "doc_id", plain.alias("base")).join(extra, "_row", "left")
-    more = F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    out = found.select("_row", "doc_id", "text", plain.alias("base"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    out = out.withColumn("extra", none) if bad.isEmpty() else out.join(term_spans(found, bad), "_row", "left").withColumn("extra", F.coalesce("extra", none))
     count = [_number(k) for k in range(len(KINDS))]
-    return out.select("doc_id", *count, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", more))).alias("spans"), F.size(more).cast("long").alias("n_term"))
+    every = F.array_sort(F.concat("base", "extra"))
+    # masked blanks lie inside spans, so the masked text gives the same result as the whole one
+    return out.select(
+        "doc_id",
+        *count,
+        F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _joined(every).alias("spans"),
+        F.size("extra").cast("long").alias("n_term"),
+        sanitised(F.col("text"), every).alias("sanitised"),
+    )
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitise(table(spark, sf_dir, "documents"))
+    return sanitise(table(spark, sf_dir, "documents")).drop("sanitised")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_pii": op2_pii}

@@ -81,6 +81,38 @@ def test_pii_terms_that_disclose(spark):
     assert "term:8:14" in got[0].spans and got[100].spans == ""
 
 
+def test_pii_copies_make_no_term_and_the_text_is_sanitised(spark):
+    rows = [(i, "Zorbal reach z@q.io now") for i in range(9)] + [(20 + i, f"Mira{' x' * i} call +1 555 010 9999!") for i in range(5)] + [(100 + i, f"call plain words x {i}") for i in range(50)]
+    got = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[0].spans == "email:13:19" and got[0].sanitised == "Zorbal reach [EMAIL] now"
+    assert (got[21].spans, got[21].sanitised) == ("term:0:4,phone:12:27", " x call [PHONE]!")
+
+
+def test_pii_base_equals_brute_force(spark):
+    draw = random.Random(11)
+    bits = ["a.b@x.org", "@", "a@b", "10.0.0.1", "1.2.3.256", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "0" * 15, "1" * 21, "+1 (555) 010-9999", "+12", "+", "é", "\U0001f600", " ", "-", ".", "7"]
+    rows = [(i, "".join(draw.choice(bits) for _ in range(draw.randint(0, 14)))) for i in range(300)]
+    rows += [(300, "4111 1111 1111 1111 " * 60000)]  # longer than one chunk of any reader
+    got = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    digits = lambda v: [int(c) for c in v if c.isdigit()]
+
+    def luhn(v):
+        d = digits(v)[::-1]
+        return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda v: 14 <= len(digits(v)) <= 19 and luhn(v)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 10 <= len(digits(v)) <= 15),
+    ]
+    for k, t in rows:
+        want = sorted((m.start(), n, m.end()) for n, (_, p, good) in enumerate(kinds) for m in regex.finditer(p, t) if good(m[0]))
+        joined = ",".join(f"{kinds[n][0]}:{a}:{b}" for a, n, b in want)
+        assert got[k].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), (k, t[:200], joined[:200], got[k].spans[:200])
+        assert (got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone) == tuple(sum(n == i for _, n, _ in want) for i in range(4))
+
+
 def test_pii_terms_anywhere(spark):
     far = " pad" * 100
     rows = [(i, f"Zorbal opens {i}{far} z@q.io now") for i in range(6)] + [(50, "here zorbal is, ZORBAL and zorbals")] + [(100 + i, f"pad opens plain now {i}") for i in range(100)]
