@@ -1,9 +1,9 @@
 """Personal data, and the terms that reveal it, by information-theoretic sanitisation.
 
 Base kinds are found by pattern. Terms are the runs of letters outside base spans, in lower case. They are
-counted with each entity over whole documents of the whole corpus, a text and its copies being one context:
-a term t discloses an entity e when the entity accounts for a share P(e | t) of the term's contexts of SHARE
-at least, in at least SUPPORT contexts, and the term carries information about it, log2(P(e | t) / P(e)) > 0.
+counted with each entity over whole documents of the whole corpus: a term t discloses an entity e when the entity
+accounts for a share P(e | t) of the term's documents of SHARE at least, in at least SUPPORT different contexts (a text and
+its copies are one), and the term carries information about it, log2(P(e | t) / P(e)) > 0.
 All occurrences of such a term, in any document, are spans of the kind "term". The sanitised text has the kind in
 place of a base span (generalised) and nothing in place of a term (removed). Only DataFrame functions are used; counts
 are summed before they are shuffled.
@@ -110,23 +110,23 @@ def _words() -> Column:
 
 
 def disclosing(found: DataFrame) -> DataFrame:
-    """The terms whose co-occurrence with some entity over all contexts discloses it; texts are masked."""
+    """The terms whose co-occurrence with some entity over all documents discloses it; texts are masked."""
+    total = F.lit(float(max(1, found.count())))
     values = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))
-    context = F.xxhash64("text", values)
-    total = F.lit(float(max(1, found.select(context.alias("c")).distinct().count())))
     words = F.array_distinct(F.transform(_words(), lambda w: F.lower(w)))
-    # a context is represented by one of its rows, so that a hot text's copies are never spread out
+    # a context is represented by one of its rows, with their number: a hot text's copies are never spread out
     holding = found.where(F.size("spans") > 0)
-    least = cut(holding.select("_row", context.alias("c")).groupBy("c").agg(F.min("_row").alias("_row")).select("_row"), "contexts")
-    holding = holding.join(least, "_row", "left_semi").select("text", F.explode(values).alias("entity"))
+    least = holding.select("_row", F.xxhash64("text", values).alias("c")).groupBy("c").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"))
+    holding = holding.join(cut(least.select("_row", "copies"), "contexts"), "_row").select("text", "copies", F.explode(values).alias("entity"))
+    counted = lambda n: (F.sum("copies").alias(n), F.count("*").alias("support"))
     # an entity in fewer contexts cannot reach the support with any term
-    entities = cut(holding.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
-    pair = holding.join(entities, "entity").select("entity", "n_e", F.explode(words).alias("term"))
-    pair = cut(pair.groupBy("term", "entity", "n_e").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "term-entities")
+    entities = cut(holding.groupBy("entity").agg(*counted("n_e")).where(F.col("support") >= SUPPORT).drop("support"), "entities")
+    pair = holding.join(entities, "entity").select("entity", "n_e", "copies", F.explode(words).alias("term"))
+    pair = cut(pair.groupBy("term", "entity", "n_e").agg(*counted("n_te")).where(F.col("support") >= SUPPORT).drop("support"), "term-entities")
     if pair.isEmpty():
         return pair.select("term")
     asked = cut(pair.select("term").distinct(), "terms")
-    frequency = found.select(context.alias("c"), F.explode(words).alias("term")).join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    frequency = found.select(F.explode(words).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.col("n_te") / F.col("n_t")
     return pair.join(frequency, "term").where((share >= SHARE) & (share * total > F.col("n_e"))).select("term").distinct()
 
