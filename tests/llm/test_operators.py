@@ -133,6 +133,30 @@ def test_exact(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_quotient_filters_merge_without_loss():
+    draw = np.random.default_rng(6)
+    seen = draw.integers(0, 1 << 63, 3000, dtype=np.uint64)[draw.integers(0, 3000, 9000)]
+    parts = [exact_dedup.QuotientFilter.of(x) for x in np.split(seen, [1000, 1001, 5000])] + [exact_dedup.QuotientFilter.of(seen[:0])]
+    whole = exact_dedup.QuotientFilter.merged([exact_dedup.QuotientFilter.from_bytes(x.to_bytes()) for x in parts])
+    once = exact_dedup.QuotientFilter.of(seen)
+    for a, b in ((whole.ends, once.ends), (whole.remainders, once.remainders), (whole.counts, once.counts)):
+        assert a.tolist() == b.tolist()
+    want = Counter(seen.tolist())
+    assert all(whole.count(f) == n for f, n in want.items()) and whole.count(12345) == 0
+    starts = np.concatenate(([0], whole.ends[:-1]))
+    assert all((np.diff(whole.remainders[a:b].astype(np.int64)) > 0).all() for a, b in zip(starts, whole.ends))
+
+
+def test_exact_texts_of_one_fingerprint_stay_apart(spark, monkeypatch):
+    crowd = lambda d: exact(d).withColumn("fingerprint", exact_dedup.F.pmod("fingerprint", exact_dedup.F.lit(2)))
+    exact = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", crowd)
+    rows = [(i, f"t{i % 9}", "x") for i in range(50)] + [(3, "t3", "x"), (None, "t3", "x"), (None, "alone", "x")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    assert all((r.keep_id, r.group_size) == (r.doc_id % 9, 6 - (r.doc_id % 9 > 4) + 2 * (r.doc_id % 9 == 3)) for r in got if r.doc_id is not None)
+    assert sorted((str(r.keep_id), r.group_size, r.kept) for r in got if r.doc_id is None) == [("3", 8, False), ("None", 1, True)]
+
+
 def test_packing(docs, none):
     rows = packing.pack_documents(docs).collect()
     places = {}
