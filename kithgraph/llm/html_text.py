@@ -1,10 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks: those in a
-boilerplate container, or mostly links, are bad; those in an article container, and long ones
-with a natural share of stop words, are good; long ones without are bad. In the second
-pass the undecided short blocks take the label of the nearest decided neighbours: good only
-where the nearest ones on both sides are good, or the only one there is.
+A page is cut into blocks at block-level tags. What is in a container that the result must leave out (menus,
+headers, notices and so on) goes. The first pass decides the others, in an article container or not:
+blocks that are mostly links are bad, headings excepted; long ones with a natural share of stop words are
+good; long ones with hardly any are bad, or open in an article. Where a page's long blocks as a whole have
+no stop words, its language is none of those listed, and long blocks without links are good. In the second
+pass open blocks take the label of the nearest decided neighbour, in an article of those in the same article
+only. At equal distance good wins in an article, bad outside; an article that decides nothing is good.
 
 Defined results: null and empty html and pages without good blocks give an empty text; broken
 markup is read as far as it goes (an unclosed comment or script hides the rest); repeated rows are
@@ -33,15 +35,19 @@ BAD = frozenset("nav header footer aside form menu dialog".split())
 GOOD = frozenset("article main".split())
 HINT = re.compile(r"(^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|legal|masthead|menu|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)($|[\s_-])", re.I)
 STOP = frozenset("the of and to in a is that it for on with as was by this be are from or an at de la le les et des un une en que est dans pour du au der die und das ist den von zu mit nicht für auf ein eine dem el los las y por con para no se su del al una".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>=]|=)*+)>|<[!?][^>]*>", re.S)
+#: A slash that ends an unquoted value closes nothing.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Paragraphs and the like end when the next block begins.
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 
 
-def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(text, characters in links, "bad", "good" or "" by container) in page order."""
-    out: list[tuple[str, int, str]] = []
+def blocks(page: str) -> list[tuple[str, int, str, int, bool]]:
+    """(text, characters in links, "bad", "good" or "" by container, number of the article, whether it is a heading) in page order."""
+    out: list[tuple[str, int, str, int, bool]] = []
+    articles = 0
     stack: list[tuple[str, str]] = []  # (element, mark)
     marks = {"bad": 0, "good": 0, "hidden": 0, "a": 0}
     parts: list[str] = []
@@ -51,7 +57,8 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, "bad" if marks["bad"] else "good" if marks["good"] else ""))
+            where = "bad" if marks["bad"] else "good" if marks["good"] else ""
+            out.append((text, linked, where, articles if where == "good" else 0, any(x in _HEADING for x, _ in stack)))
         parts.clear()
         linked = 0
 
@@ -87,7 +94,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             continue
         if name in BLOCK and stack and stack[-1][0] in CLOSED_BY_BLOCK:
             close(len(stack) - 1)
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or name not in RAW and _CLOSED.search(m[3]):
             continue
         hints = " ".join(x.strip("\"'") for x in _ATTR.findall(m[3]))
         inside = marks["good"]
@@ -100,6 +107,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         else:
             mark = "good" if name in GOOD else ""
         if mark:
+            articles += mark == "good" and not inside
             marks[mark] += 1
         stack.append((name, mark))
         if name in RAW:
@@ -110,35 +118,60 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
     return out
 
 
-def main_text(page: str) -> str:
-    found = blocks(page)
+def stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
+
+
+def first_pass(found: list[tuple[str, int, str, int, bool]]) -> list[bool | None]:
+    """Good, bad or open by container, links, length and stop words."""
+    long = [t for t, linked, where, _, _ in found if where != "bad" and len(t) >= LONG and linked <= LINKS_BAD * len(t)]
+    known = bool(long) and stop_share(" ".join(long)) >= STOP_BAD
     labels: list[bool | None] = []
-    for text, linked, where in found:
-        if where:
-            labels.append(where == "good")
-        elif linked > LINKS_BAD * len(text):
+    for text, linked, where, _, heading in found:
+        if where == "bad":
             labels.append(False)
-        elif len(text) >= LONG:
-            words = text.lower().split()
-            share = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-            labels.append(True if share >= STOP_GOOD else False if share < STOP_BAD else None)
-        else:
+        elif linked > LINKS_BAD * len(text):
+            labels.append(None if heading else False)
+        elif len(text) < LONG:
             labels.append(None)
-    before, last = [], None
-    for x in labels:
-        last = x if x is not None else last
-        before.append(last)
-    kept, last = [], None
-    for i in range(len(labels) - 1, -1, -1):
-        if labels[i] is not None:
-            last = labels[i]
-            good = labels[i]
         else:
-            sides = {before[i], last} - {None}
-            good = sides == {True}
-        if good:
-            kept.append(found[i][0])
-    return "\n".join(reversed(kept))
+            share = stop_share(text) if known else 1.0
+            labels.append(True if share >= STOP_GOOD else None if share >= STOP_BAD or where else False)
+    return labels
+
+
+def nearest(labels: list[bool | None]) -> list[tuple[int, bool] | None]:
+    """For each place the decided label at or before it, with its distance."""
+    out: list[tuple[int, bool] | None] = []
+    last = None
+    for i, x in enumerate(labels):
+        last = (i, x) if x is not None else last
+        out.append(None if last is None else (i - last[0], last[1]))
+    return out
+
+
+def second_pass(labels: list[bool | None], article: bool) -> list[bool]:
+    """Open places take the label of the nearest decided one."""
+    out = []
+    for a, b in zip(nearest(labels), reversed(nearest(labels[::-1]))):
+        if a is None or b is None or a[0] != b[0]:
+            best = min((x for x in (a, b) if x is not None), default=None)
+            out.append(article if best is None else best[1])
+        else:
+            out.append(a[1] or b[1] if article else a[1] and b[1])
+    return out
+
+
+def main_text(page: str) -> str:
+    found = blocks(page)
+    labels = first_pass(found)
+    good = second_pass(labels, False)
+    for k in {x[3] for x in found} - {0}:
+        places = [i for i, x in enumerate(found) if x[3] == k]
+        for i, x in zip(places, second_pass([labels[i] for i in places], True)):
+            good[i] = x
+    return "\n".join(x[0] for x, keep in zip(found, good) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

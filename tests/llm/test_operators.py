@@ -235,6 +235,37 @@ def test_html():
     assert html_text.main_text("<p>The cat sat on the mat and it was in the house for the whole of a day by the sea.<p>Short.").endswith("Short.")
 
 
+NATURAL = "The cat sat on the mat and it was in the house for the whole of a day by the sea."
+FOREIGN = "Kot siedział sobie dziś bardzo wygodnie obok ogromnego starego kominka, kiedy nadeszła burza znad morza."
+LISTED = "Alpha Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima Mike November Oscar Papa"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p class=it's>hello</p><p>{NATURAL}</p></article>", f"hello\n{NATURAL}"),
+        (f"<article><p>{NATURAL}</p></article><a href=/x/>Menu item one</a>", NATURAL),
+        (f"<article><h1><a href=x>Head</a></h1><p>{NATURAL}</p><p><a href='y'>{NATURAL}</a></p></article>", f"Head\n{NATURAL}"),  # links decide, headings excepted
+        (f"<div><p>{FOREIGN}</p><p>{FOREIGN}</p></div>", f"{FOREIGN}\n{FOREIGN}"),
+        (f"<article><p>{LISTED}</p></article>", LISTED),
+        (f"<p>{NATURAL}</p><p>{NATURAL}</p><p>{LISTED}</p><p>tail</p>", f"{NATURAL}\n{NATURAL}"),  # no stop words; what follows inherits
+        (f"<p>{NATURAL}</p><p>near</p><p>even</p><p>far</p><p>{LISTED}</p>", f"{NATURAL}\nnear"),
+        (f"<article><p>only</p></article><p>after</p><nav>{NATURAL}</nav>", "only"),
+        (f"<article><p>{NATURAL}</p><p>short</p><p><a href=x>links</a></p></article>", f"{NATURAL}\nshort"),
+        (f'<a name="x"/><p>{NATURAL}</p><script/>var x</script><p title="a>b">end</p>', f"{NATURAL}\nend"),
+        ("<p" + ' a="b' * 3000, "<p" + ' a="b' * 3000),
+    ],
+)
+def test_html_passes_decide(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_rows_without_crash(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + NATURAL * 30000, 0), (2, "u", "<article>a</article>", 0), (2, "u", "<article>a</article>", 0)], "page_id long, url string, html string, n_chars int")
+    got = sorted((r.page_id, r.n_chars) for r in html_text.extract(pages).collect())
+    assert got == [(1, len(NATURAL) * 30000), (2, 1), (2, 1)] and html_text.extract(pages.where("false")).count() == 0
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "<article>a</article>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(1, "", 0), (2, "a", 1)]
