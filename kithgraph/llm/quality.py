@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_view, chunks, prefix_hash, span_hash, table, texts
 
@@ -180,17 +181,18 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with `score`; other columns stay, null texts count as empty."""
-    schema = docs.schema.add("score", "double") if "score" not in docs.columns else docs.drop("score").schema.add("score", "double")
-    at = [f.name for f in schema].index("text")
+def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
+    """docs with the score under name, in place of a column of that name if there is one; other columns stay, null texts count as empty."""
+    rest = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
+    schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
+    at = rest.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(document_scores(model, batch.column(at)))], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(document_scores(model, batch.column(at)))], names=[*batch.schema.names, name])
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

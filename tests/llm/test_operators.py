@@ -376,6 +376,52 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def rows_of_awkward_ids(spark):
+    near = LONG.replace("word0 ", "other ")
+    rows = [(7, LONG, "a"), (7, LONG, "b"), (None, LONG, "c"), (None, "alone in the world", "d"), (9, near, "e"), (9, "clean words of nine", "f"), (9, "the leaked passage of the set", "g"), (5, None, "h"), (6, "", "i")]
+    return spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, Score string, _key int, kept int, n_hit int")
+
+
+def kept_marks(df):
+    return "".join(sorted(r.Score for r in df.collect()))
+
+
+def test_pipeline_exact_copies_by_row(spark, rows_of_awkward_ids):
+    import corpus_pipeline
+
+    got = corpus_pipeline.without_copies(spark, rows_of_awkward_ids, SF)
+    assert got.columns == rows_of_awkward_ids.columns and kept_marks(got) in ("adefgh", "bdefgh")
+    assert corpus_pipeline.without_copies(spark, rows_of_awkward_ids.where("false"), SF).count() == 0
+
+
+def test_pipeline_near_copies_by_row(spark, rows_of_awkward_ids):
+    import corpus_pipeline
+
+    got = corpus_pipeline.without_near_copies(spark, rows_of_awkward_ids, SF)
+    assert got.columns == rows_of_awkward_ids.columns and kept_marks(got) in ("adfghi", "bdfghi")
+    assert corpus_pipeline.without_near_copies(spark, rows_of_awkward_ids.where("false"), SF).count() == 0
+
+
+def test_pipeline_leaks_by_row(spark, rows_of_awkward_ids, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "Leaked passage, of")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.uncontaminated(spark, rows_of_awkward_ids, str(tmp_path))
+    assert got.columns == rows_of_awkward_ids.columns and kept_marks(got) == "abcdefhi"
+    assert corpus_pipeline.uncontaminated(spark, rows_of_awkward_ids.where("false"), str(tmp_path)).count() == 0
+
+
+def test_pipeline_quality_leaves_a_column_of_the_score_s_name(spark, rows_of_awkward_ids, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(["A good line of prose.\n" * 9, "$$$ 1 | 2 | 3 %%%\n" * 9] * 40)], "doc_id long, text string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(None, "A good line of prose.\n" * 5, "u"), (1, "$$$ 1 | 2 | 3 %%%\n" * 5, "v")], "doc_id long, text string, Score string")
+    got = corpus_pipeline.good_documents(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and kept_marks(got) == "u"
+
+
 def test_pipeline_keeps_only_whole_stages(spark):
     import corpus_pipeline
 
