@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences, each stage written and read again."""
+"""From raw documents to packed sequences, each stage written and read again.
+
+Stages decide about rows, not about values of doc_id: rows with a null doc_id are documents like others, and rows that
+share a doc_id are judged each. All columns of the input come through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithgraph.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from kithgraph.llm.common import cut, table
+from kithgraph.llm.common import cut, fresh_name, table
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """(docs with a key per row, the key's name, (doc_id, text) with the key as doc_id); written once, so that the keys stay."""
+    key = fresh_name(docs, "_key")
+    held = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    return held, key, held.select(F.col(key).alias("doc_id"), "text")
+
+
+def first_rows(held: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """Of each group of (doc_id: a row's key, name) the row with the smallest doc_id; null is larger than all, ties go to the first row."""
+    ids = held.select(F.col(key).alias("_row"), F.col("doc_id").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
+    first = ids.join(groups.select(F.col("doc_id").alias("_row"), F.col("name").alias("_group")), "_row").groupBy("_group").agg(F.min(order).alias("first"))
+    return first.select(F.col("first._row").alias(key))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality field scores at its threshold at least."""
+    """Rows that the quality field scores at its threshold at least; the field is fitted on the labelled documents of sf_dir."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    name = fresh_name(docs, "score")
+    return quality.score(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each text, white space aside: that with the smallest doc_id. Null and empty texts are one text."""
+    held, key, plain = keyed(docs)
+    kept = first_rows(held, key, exact_dedup.exact_groups(plain).select("doc_id", F.col("keep_id").alias("name")))
+    return held.join(kept, key, "left_semi").select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each component of near copies: that with the smallest doc_id. Texts without words are no copies."""
+    held, key, plain = keyed(docs)
+    kept = first_rows(held, key, near_dedup.near_groups(plain).select("doc_id", F.col("component_id").alias("name")))
+    return held.join(kept, key, "left_semi").select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("doc_id")
-    return docs.join(clean, "doc_id", "left_semi").select(docs.columns)
+    """Rows that hold no window of the benchmark of sf_dir."""
+    held, key, plain = keyed(docs)
+    clean = decontaminate.hits(plain, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(F.col("doc_id").alias(key))
+    return held.join(clean, key, "left_semi").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places in sequences; equal doc_ids are packed each."""
     return packing.pack_documents(docs)
 
 
@@ -39,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is a table of its own, which the next stage reads."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
