@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .egonet import adjacency
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df from a file in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+from .ranking import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,13 +14,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours, then the label of that label, so
     that long chains shorten by half."""
-    near = _checkpointed(adjacency(edges))
-    now = _checkpointed(near.groupBy("node").agg(F.least(F.min("nbr"), F.col("node")).alias("community")))
+    near = checkpointed(adjacency(edges))
+    now = checkpointed(near.groupBy("node").agg(F.least(F.min("nbr"), F.col("node")).alias("community")))
     while True:
         heard = near.join(now.select(F.col("node").alias("nbr"), F.col("community").alias("c")), "nbr").groupBy("node").agg(F.min("c").alias("c"))
         least = now.join(heard, "node").select("node", F.col("community").alias("old"), F.least("community", "c").alias("c"))
         jump = now.select(F.col("node").alias("c"), F.col("community").alias("far"))
-        new = _checkpointed(least.join(jump, "c").select("node", "old", F.least("c", "far").alias("community")))
+        new = checkpointed(least.join(jump, "c").select("node", "old", F.least("c", "far").alias("community")))
         now = new.select("node", "community")
         if new.where("old <> community").isEmpty():
             return now
