@@ -4,8 +4,10 @@ A document's set is its distinct shingles of 4 words as 64-bit hashes. Documents
 with one set are one class, represented by the smallest doc_id. A class has one minimum per bin of one hash
 permutation; an empty bin takes the value of a bin that a universal hash of (bin, attempt) picks. Bands of
 rows are bucket keys. In a bucket, edges go from one centre to the others (a star), so there are
-no more candidates than bucket entries. Candidates are confirmed on whole sets. Buckets that then still
-hold several components are open: a link between two members that the centre is no part of may be hidden in them. All
+no more candidates than bucket entries. Candidates whose sizes or parity bits rule
+a link out go (a bound, so no link is lost), the others are confirmed on whole sets. Buckets that then still
+hold several components are open: a link between two members that the centre is no part of may be hidden in them. They
+get other centres as long as turns find links at a good rate, so that large groups grow together by stars. All
 classes of open buckets go through an exact prefix-filtered join (rest_pairs), so no pair of
 different components that shares a bucket is left untested, however large the bucket is.
 
@@ -19,10 +21,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_view, chunks, cut, discard, mix64, prefix_hash, span_hash, table, texts
@@ -30,6 +33,12 @@ from .common import byte_view, chunks, cut, discard, mix64, prefix_hash, span_ha
 SHINGLE = 4
 #: Bands of ROWS bins: a pair at similarity 0.8 misses all of them once in 20 million.
 BANDS, ROWS = 32, 4
+#: 64-bit words of a set's parities.
+WORDS = 8
+#: Star turns go on while one pair in so many of a turn is a link; the exact join then takes what is left.
+STOP = 4
+#: Up to so many doc_ids (32 MB) are broadcast to pick their texts; more are joined, which moves the texts.
+BROADCAST_IDS = 4_000_000
 _SCHEMA = "doc_id long, n_shingles long, set_hash long, bands array<long>"
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -109,17 +118,29 @@ def signatures(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(sign, _SCHEMA)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """WORDS * 64 bits: whether an odd number of the set's hashes falls on each. Two sets differ in as many hashes as bits at least."""
+    odd = np.bincount((mix64(found ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(bits: str, other: str, n: str, m: str, threshold: int) -> Column:
+    """Whether sets of sizes n and m with these parities can have the similarity; false only where they cannot."""
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(WORDS)))
+    return apart * (100 + threshold) <= (F.col(n) + F.col(m)) * (100 - threshold)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, set_hash, shingles) per row."""
+    """(id, set_hash, bits, shingles) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, limit=4 << 20):
                 flat, at = byte_view(batch.column(1))
                 sets = [shingle_hashes(flat[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(s) for s in sets], pa.int64()), _ragged([s.view(np.int64) for s in sets])], names=["id", "set_hash", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(s) for s in sets], pa.int64()), _ragged([parities(s) for s in sets]), _ragged([s.view(np.int64) for s in sets])], names=["id", "set_hash", "bits", "shingles"])
 
-    return texts(docs).mapInArrow(run, "id long, set_hash long, shingles array<long>")
+    return texts(docs).mapInArrow(run, "id long, set_hash long, bits array<long>, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,30 +167,34 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def rest_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def rest_pairs(classes: DataFrame, sets: DataFrame, threshold: int, bits: DataFrame | None = None) -> DataFrame:
     """(a, b, na, nb): pairs that hold all links between classes (id, n_shingles, comp) of different components.
 
     Shingles are ordered by their number of classes; those of one component only come first and are counted, not listed.
     The first common shingle of a link stands within a prefix of both sets: as long as the overlap with a
-    set of equal size leaves for the smaller one, with any smaller set for the larger one."""
+    set of equal size leaves for the smaller one, with any smaller set for the larger one. With the
+    sets' parities (id, bits), pairs that these rule out are not listed."""
+    sets = sets.select("id", "shingles")
     spread = classes.join(sets, "id").select("comp", F.explode("shingles").alias("shingle"))
     common = spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("shingle", "n")
     common = cut(common, "common-shingles")
     # each row's shingles are dealt out by shingle and come back in order, as far as the prefix may reach
     listed = cut(classes.join(sets, "id").select("id", F.explode("shingles").alias("shingle")).join(common, "shingle").select("id", "n", "shingle"), "listed")
     ordered = listed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order")).join(classes, "id")
+    ordered = ordered.join(bits, "id") if bits is not None else ordered.withColumn("bits", F.lit(None).cast("array<long>"))
     least = F.ceil(F.col("n_shingles") * threshold / 100)
     own = F.col("n_shingles") - F.size("order")
     reach = F.greatest(F.col("n_shingles") - least + 1 - own, F.lit(0)).cast("int")
-    prefix = ordered.select("id", "n_shingles", "comp", own.alias("own"), F.posexplode(F.slice("order", F.lit(1), reach)).alias("at", "s"))
-    prefix = cut(prefix.select("id", "n_shingles", "comp", (F.col("own") + F.col("at")).alias("at"), F.col("s.shingle").alias("shingle")), "prefixes")
+    prefix = ordered.select("id", "n_shingles", "comp", "bits", own.alias("own"), F.posexplode(F.slice("order", F.lit(1), reach)).alias("at", "s"))
+    prefix = cut(prefix.select("id", "n_shingles", "comp", "bits", (F.col("own") + F.col("at")).alias("at"), F.col("s.shingle").alias("shingle")), "prefixes")
     small = prefix.where((F.col("n_shingles") - F.col("at")) * (100 + threshold) >= F.col("n_shingles") * (2 * threshold))
-    large = prefix.select("shingle", F.col("id").alias("c"), F.col("n_shingles").alias("nc"), F.col("comp").alias("cc"), F.col("at").alias("ac"))
+    large = prefix.select("shingle", F.col("id").alias("c"), F.col("n_shingles").alias("nc"), F.col("comp").alias("cc"), F.col("bits").alias("cb"), F.col("at").alias("ac"))
     first = (F.col("n_shingles") < F.col("nc")) | ((F.col("n_shingles") == F.col("nc")) & (F.col("id") < F.col("c")))
     close = F.col("n_shingles") * 100 >= F.col("nc") * threshold
     rest = F.least(F.col("n_shingles") - F.col("at"), F.col("nc") - F.col("ac"))
     enough = rest * (100 + threshold) >= (F.col("n_shingles") + F.col("nc")) * threshold
-    pairs = small.join(large, "shingle").where((F.col("comp") != F.col("cc")) & first & close & enough)
+    may = may_link("bits", "cb", "n_shingles", "nc", threshold) if bits is not None else F.lit(True)
+    pairs = small.join(large, "shingle").where((F.col("comp") != F.col("cc")) & first & close & enough & may)
     up = F.col("id") < F.col("c")
     size_a, size_b = F.when(up, F.col("n_shingles")).otherwise(F.col("nc")), F.when(up, F.col("nc")).otherwise(F.col("n_shingles"))
     out = cut(pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), size_a.alias("na"), size_b.alias("nb")).distinct(), "rest-pairs")
@@ -177,6 +202,35 @@ def rest_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return out
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) after links (a, b) between ids; only the components that links join are worked on."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("id").alias(end), F.col("comp").alias("_c")), end).drop(end).withColumnRenamed("_c", end)
+    moved = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    out = cut(labels.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "components")
+    discard(labels)
+    return out
+
+
+def open_buckets(entries: DataFrame, labels: DataFrame, bits: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(entries with their component, centres (band, key, c, nc, cc, cb) of buckets that hold several components).
+
+    A turn has one order for all bands: copies of one text then meet the same few centres."""
+    held = cut(entries.join(labels.join(bits, "id"), "id").select("band", "key", "id", "n_shingles", "comp", "bits"), "labelled")
+    centre = F.min_by(F.struct(F.col("id").alias("c"), F.col("n_shingles").alias("nc"), F.col("comp").alias("cc"), F.col("bits").alias("cb")), F.xxhash64(F.lit(turn), "id"))
+    each = held.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), centre.alias("s"))
+    return held, cut(each.where("x < y").select("band", "key", "s.*"), "centres")
+
+
+def star_pairs(held: DataFrame, centres: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, na, nb): the members of open buckets with their centre, where components differ and sizes and parities allow a link."""
+    close = F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * threshold
+    up = F.col("id") < F.col("c")
+    size_a, size_b = F.when(up, F.col("n_shingles")).otherwise(F.col("nc")), F.when(up, F.col("nc")).otherwise(F.col("n_shingles"))
+    met = held.join(centres, ["band", "key"]).where((F.col("comp") != F.col("cc")) & close & may_link("bits", "cb", "n_shingles", "nc", threshold))
+    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), size_a.alias("na"), size_b.alias("nb")).distinct()
+
+
 def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; links have a similarity of threshold hundredths at least."""
     signed = cut(signatures(docs), "signatures")
@@ -191,7 +245,9 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
     discard(alone, shared)
     # whole sets only of those that share a bucket with another
     asked = cut(entries.select("id", "set_hash").distinct(), "asked")
-    sets = cut(shingle_sets(docs.join(asked.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).join(asked, ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "shingles"), "sets")
+    ids = asked.select(F.col("id").alias("doc_id"))
+    ids = F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids
+    sets = cut(shingle_sets(docs.join(ids, "doc_id", "left_semi")).join(asked, ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "bits", "shingles"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -199,25 +255,26 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
         return cut(whole.where(both * 100 >= (F.col("na") + F.col("nb") - both) * threshold).select("a", "b"), "confirmed")
 
-    # one order for all bands: copies of one text then meet the same few centres
-    centre = F.min_by(F.struct(F.col("id").alias("c"), F.col("n_shingles").alias("nc")), F.xxhash64("id")).alias("s")
-    centres = cut(entries.groupBy("band", "key").agg(centre).select("band", "key", "s.*"), "stars")
-    # sizes alone rule out most pairs of different texts
-    close = (F.col("id") != F.col("c")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * threshold)
-    up = F.col("id") < F.col("c")
-    size_a, size_b = F.when(up, F.col("n_shingles")).otherwise(F.col("nc")), F.when(up, F.col("nc")).otherwise(F.col("n_shingles"))
-    pairs = entries.join(centres, ["band", "key"]).where(close).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), size_a.alias("na"), size_b.alias("nb")).distinct()
-    pairs = cut(pairs, "candidates")
-    links = confirm(pairs)
-    labels = cut(components(links), "components")
-    held = cut(entries.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("band", "key", "id", "n_shingles", "comp"), "labelled")
-    open_ = held.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "key")
-    rest = cut(held.join(open_, ["band", "key"]).select("id", "n_shingles", "comp").distinct(), "rest")
-    discard(centres, held)
+    labels = cut(entries.select("id", F.col("id").alias("comp")).distinct(), "components")
+    tried, turn, goes_on = [], 0, True
+    while True:
+        held, centres = open_buckets(entries, labels, sets.select("id", "bits"), turn)
+        if not goes_on:
+            break
+        pairs = cut(star_pairs(held, centres, threshold), "candidates")
+        new = confirm(pairs)
+        discard(held, centres)
+        tried.append(pairs.select("a", "b"))
+        found, turn = new.count(), turn + 1
+        goes_on = found > 0 and found * STOP >= pairs.count()
+        if found:
+            labels = merged(labels, new)
+    rest = cut(held.join(centres.select("band", "key"), ["band", "key"]).select("id", "n_shingles", "comp").distinct(), "rest")
+    discard(held, centres)
     if not rest.isEmpty():
-        new = confirm(rest_pairs(rest, sets, threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        new = confirm(rest_pairs(rest, sets, threshold, sets.select("id", "bits")).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            labels = cut(components(links.unionByName(new)), "components")
+            labels = merged(labels, new)
     discard(entries, sets)
     ids = cut(classes.join(labels, "id", "left").select("set_hash", "n_shingles", F.coalesce("comp", "id").alias("component_id")), "class-components")
     out = signed.select("doc_id", "n_shingles", "set_hash").join(ids, ["set_hash", "n_shingles"], "left")

@@ -208,6 +208,23 @@ def test_rest_pairs_hold_all_links_of_different_components(spark):
     assert len(links) > 10 and links <= got
 
 
+def test_parities_rule_out_no_link(spark):
+    draw = random.Random(3)
+    rows, want = [], []
+    for n in (1, 5, 40, 300, 3000):
+        for share in (0.5, 0.75, 0.8, 0.85, 0.95, 1.0):
+            a = np.unique(np.array([draw.getrandbits(64) for _ in range(n)], dtype=np.uint64))
+            kept = a[: max(1, round(len(a) * share))]
+            b = np.unique(np.concatenate([kept, np.array([draw.getrandbits(64) for _ in range(draw.choice((0, n - len(kept))))], dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            rows.append((near_dedup.parities(a).tolist(), near_dedup.parities(b).tolist(), len(a), len(b)))
+            want.append(100 * both >= 80 * (len(a) + len(b) - both))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, n long, m long").select("*", near_dedup.may_link("x", "y", "n", "m", 80).alias("may"))
+    got = [r.may for r in df.collect()]
+    assert any(want) and not all(got)
+    assert all(g for g, w in zip(got, want, strict=True) if w)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {(r.id, r.comp) for r in near_dedup.components(edges).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
