@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, components, egonet, evaluation, features
+from ..operators import clusters, components, egonet, evaluation, features, louvain, splitting
 from ..sources.edges import co_purchase
 from ..streaming import incremental
 
@@ -86,6 +86,28 @@ def _score_partition(spark, d):
     return components.score_partition(egonet.degrees(_edges(spark, d)), _scores(spark, d).select("src", "dst", "w1"), min_score=6)
 
 
+def _metrics(spark, d):
+    """Of communities by node % 7, those of remainder 6 left out."""
+    e = _edges(spark, d)
+    nodes = egonet.degrees(e).select("node")
+    part = nodes.where("node % 7 < 6").select((F.col("node") % 7).alias("community"), "node")
+    m = evaluation.evaluate_partition(e, nodes, part)
+    return m.select("community_count", *(F.round(c, 9).alias(c) for c in m.columns[1:]))
+
+
+def _split(spark, d):
+    """What a split and its negatives hold: sizes, whether train keeps the components, and negatives that are edges or loops."""
+    e = _edges(spark, d)
+    train, test = splitting.split_edges(e)
+    none = splitting.negative_pairs(e, 500, seed=142)
+    before, after = components.components(e), components.components(train).withColumnRenamed("community", "kept")
+    moved = before.join(after, "node", "left").where("NOT (community <=> kept)").agg(F.count("*").alias("moved_nodes"))
+    wrong = none.join(e, ["src", "dst"], "left").agg(F.count("*").alias("negatives"), F.count_distinct("src", "dst").alias("different"))
+    taken = none.join(e, ["src", "dst"], "left_semi").unionByName(none.where("src >= dst")).agg(F.count("*").alias("wrong_negatives"))
+    sizes = train.agg(F.count("*").alias("train_edges")).crossJoin(test.agg(F.count("*").alias("test_edges")))  # single rows
+    return sizes.crossJoin(moved).crossJoin(wrong).crossJoin(taken)
+
+
 def queries() -> dict:
     return {
         "edges_canonical": _edges,
@@ -105,6 +127,9 @@ def queries() -> dict:
         "link_auc_ap": lambda s, d: evaluation.link_metrics(_labelled(s, d)).select(F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision")),
         "precision_recall_at_k": lambda s, d: evaluation.precision_recall_at(_labelled(s, d), [1, 10, 100]).select("k", "evaluated_k", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall")),
         "partition_quality": _quality,
+        "partition_metrics": _metrics,
+        "split_contract": _split,
+        "louvain_partition": lambda s, d: louvain.louvain(_edges(s, d), egonet.degrees(_edges(s, d)).select("node")),
         "dynamic_ego_edges": _refreshed,
         "apm_clusters": lambda s, d: _clustered(s, d, "apm")[2],
     }
@@ -162,5 +187,11 @@ pl(node, label) AS (SELECT DISTINCT u, u FROM pa UNION SELECT pa.v, pl.label FRO
         "link_auc_ap": labelled + ", g AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM lb GROUP BY score), r AS (SELECT p, n, sum(p) OVER o AS cp, sum(n) OVER o AS cn FROM g WINDOW o AS (ORDER BY score DESC)) SELECT round(sum(n * (cp - p) + 0.5 * n * p) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * cp / (cp + cn)) / sum(p), 6) AS average_precision FROM r",
         "precision_recall_at_k": labelled + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, src, dst) AS rn FROM lb) SELECT k::INT AS k, count(*) AS evaluated_k, round(sum(label) / count(*), 9) AS precision, round(sum(label) / (SELECT sum(label) FROM lb), 9) AS recall FROM r JOIN (VALUES (1), (10), (100)) v(k) ON rn <= k GROUP BY k",
         "partition_quality": of(e, adj) + ", p AS (SELECT node % 7 AS community, count(*) AS d, sum((nbr % 7 = node % 7)::INT) AS i FROM adj GROUP BY ALL) SELECT count(*) AS communities, round(sum(i) / sum(d), 9) AS coverage, round(sum(i) / sum(d) - sum(d::DOUBLE * d) / (sum(d)::DOUBLE * sum(d)), 9) AS modularity FROM p",
+        "partition_metrics": of(e, adj) + """, n AS (SELECT node, node % 7 AS c, count(*) AS d FROM adj GROUP BY ALL), m AS (SELECT count(*)::DOUBLE AS m, sum((src % 7 = dst % 7)::INT) AS covered FROM e),
+w AS (SELECT c, count(*) AS s, sum(d) AS v FROM n WHERE c < 6 GROUP BY c), i AS (SELECT src % 7 AS c, count(*) AS k FROM e WHERE src % 7 = dst % 7 GROUP BY ALL),
+p AS (SELECT s, v, coalesce(k, 0) AS k FROM w LEFT JOIN i USING (c)), a AS (SELECT sum(d * d) AS q FROM n WHERE c = 6)
+SELECT count(*) AS community_count, round(avg(s), 9) AS mean_size, round(sum(k) / any_value(m) - (sum(v::DOUBLE * v) + any_value(q)) / (4 * any_value(m) * any_value(m)), 9) AS modularity,
+ round(any_value(covered) / any_value(m), 9) AS coverage, round(avg(2.0 * k / (s * (s - 1))), 9) AS mean_density, round(avg((v - 2 * k) / v::DOUBLE), 9) AS mean_conductance FROM p, m, a""",
+        "split_contract": of(e) + ", t AS (SELECT count(*) AS m, greatest(1, round_even(count(*) * 0.15, 0))::BIGINT AS t FROM e) SELECT m - t AS train_edges, t AS test_edges, 0::BIGINT AS moved_nodes, 500::BIGINT AS negatives, 500::BIGINT AS different, 0::BIGINT AS wrong_negatives FROM t",
         "dynamic_ego_edges": of(later, tri, ego) + "SELECT * FROM z",
     }
