@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a file in spark.checkpoint.dir; in local mode a folder of our own where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+    """df as a table written in spark.checkpoint.dir; in local mode in a folder of our own where that is unset.
+
+    A table read back has the size of its files. DataFrame.checkpoint keeps the estimate of the plan instead, whose
+    number of digits doubles with each round of joins."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp())
-    return df.checkpoint()
+        found = spark._kithgraph_tables = getattr(spark, "_kithgraph_tables", None) or "file://" + tempfile.mkdtemp(prefix="kithgraph-")
+    path, schema = f"{found.rstrip('/')}/graph-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
