@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer file, with a cache of words in each Python worker.
 
 A word is what stands between blanks or line breaks: the tokenizer never joins across
-them, so the ids of a text are those of its words in order.
+them, so the ids of a text are those of its words in order. A text that holds the literal of an added token
+(as "<|endoftext|>") is encoded whole, as the tokenizer does at its defaults.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.plain = Tokenizer.from_file(path)
+        self.literals = sorted(x.content for x in self.plain.get_added_tokens_decoder().values())
+        # words never hold a literal as it is written, but lower-casing can make one
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         vocab = self.model.get_vocab()
@@ -89,7 +93,21 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and len + 1 offsets. Null counts as empty."""
-        column = pc.replace_substring(pc.ascii_lower(pc.fill_null(column, "")), "\n", " ")
+        column = pc.fill_null(column, "")
+        marked = np.zeros(len(column), dtype=bool)
+        for literal in self.literals:
+            marked |= pc.match_substring(column, literal).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._by_words(column)
+        ids, at = self._by_words(pc.if_else(pa.array(marked), "", column))
+        parts = [ids[b:e] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(marked).tolist():
+            parts[i] = np.array(self.plain.encode(column[i].as_py(), add_special_tokens=False).ids, dtype=self.dtype)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def _by_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What encode returns, for texts without a null and without an added token's literal."""
+        column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
         words = pc.split_pattern(column, " ")
         distinct = words.flatten().dictionary_encode()
         names = distinct.dictionary.to_pylist()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import regex
 
-from kithgraph.llm import catalog, decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, secrets, suffix_dedup, token_files
+from kithgraph.llm import catalog, decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, secrets, suffix_dedup, token_files, tokens
 from kithgraph.llm.common import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -245,6 +245,26 @@ def test_token_files(spark, docs, none):
     assert token_files.read_digests(token_files.write_token_files(none, fresh_path(spark, "t"))).count() == 0
 
 
+def test_texts_with_literals_of_added_tokens():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    some = ["Plain words, 12.", "", None, "a<|endoftext|>B c", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "it's <| endoftext|>", "tail <|endoftext|>", "last\nline"]
+    ids, at = tokens.encoder(path).encode(pa.array(some, pa.string()))
+    assert [ids[b:e].tolist() for b, e in zip(at, at[1:])] == [model.encode(x or "", add_special_tokens=False).ids for x in some]
+    assert 49407 in ids.tolist()
+
+
+def test_a_capacity_of_no_documents_is_none(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 3, 0)], packing.PIECE_SCHEMA)
+    with pytest.raises(Exception, match="exceeds a capacity"):
+        packing.pack(pieces, max_docs=0).count()
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<p>four<div class='ad'>buy</div></article><div class=comments><p>nice</div><footer>f</footer>"
     assert html_text.main_text(page) == "A & B\none two three\nfour"
