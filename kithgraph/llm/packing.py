@@ -127,7 +127,8 @@ def pack(
     """pieces with sequence_id and offset. Without max_docs and max_attention those capacities are as large as they can matter."""
     if rule not in ("norm", "dot"):
         raise ValueError(f"unknown rule {rule!r}")
-    docs_cap, attention_cap = max_docs or max_tokens, max_attention or max_tokens**2
+    docs_cap = max_tokens if max_docs is None else max_docs
+    attention_cap = max_tokens**2 if max_attention is None else max_attention
     pieces = cut(pieces, "pieces")
     n = pieces.count()
     shards = max(1, -(-n // SHARD_PIECES))
