@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, components, egonet, evaluation, features, louvain, splitting
+from ..operators import clusters, components, egonet, evaluation, features, louvain, splitting, triples
 from ..sources.edges import co_purchase
-from ..streaming import incremental
+from ..streaming import incremental, miner
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +108,43 @@ def _split(spark, d):
     return sizes.crossJoin(moved).crossJoin(wrong).crossJoin(taken)
 
 
+def _scores_by_triples(spark, d):
+    s, _ = triples.friendship_scores(_edges(spark, d), clusterer="cc")
+    return s.select("src", "dst", "w1", F.round("w2", 6).alias("w2"), "w3", F.round("w4", 6).alias("w4"))
+
+
+def _scores_of_candidates(spark, d):
+    """Given pairs, adjacent ones too; a feature that is 0 has no score."""
+    e, z, m = _clustered(spark, d)
+    s = features.non_zero(features.pair_scores(e, z, m, _candidates(spark, d).select("src", "dst")))
+    return s.select("src", "dst", "w1", F.round("w2", 6).alias("w2"), "w3", F.round("w4", 6).alias("w4"))
+
+
+def _run_stats(spark, d):
+    s = clusters.run_stats(_stats(spark, d))
+    return s.select("ego_cluster_count", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
+
+
+def _partition_pair_scores(spark, d):
+    """Common neighbours, and 1 more in the communities by node % 7 of the training graph; nodes outside it are in none."""
+    e, c = _edges(spark, d), _candidates(spark, d)
+    train = e.join(_held(e), ["src", "dst"], "left_anti")
+    part = egonet.degrees(train).select("node", (F.col("node") % 7).alias("community"))
+    s = features.common_neighbor_scores(train, c.select("src", "dst"), part)
+    return s.select("src", "dst", F.round("score", 6).alias("score"))
+
+
+def _maintained(spark, d) -> tuple[miner.Miner, miner.State]:
+    e, keeper = _edges(spark, d), miner.Miner("cc", min_score=6)
+    state = keeper.initialize(e.where("(src * 31 + dst * 17) % 20 <> 0"), egonet.degrees(e).select("node"))
+    return keeper, keeper.apply(state, _events(e))[0]
+
+
+def _dynamic_partition(spark, d):
+    keeper, state = _maintained(spark, d)
+    return keeper.partition(state)
+
+
 def queries() -> dict:
     return {
         "edges_canonical": _edges,
@@ -131,6 +168,13 @@ def queries() -> dict:
         "split_contract": _split,
         "louvain_partition": lambda s, d: louvain.louvain(_edges(s, d), egonet.degrees(_edges(s, d)).select("node")),
         "dynamic_ego_edges": _refreshed,
+        "dynamic_scores": lambda s, d: _maintained(s, d)[1].scores,
+        "dynamic_partition": _dynamic_partition,
+        "friend_scores_triples": _scores_by_triples,
+        "friend_scores_candidates": _scores_of_candidates,
+        "cluster_run_stats": _run_stats,
+        "partition_pair_scores": _partition_pair_scores,
+        "triple_replication": lambda s, d: triples.replication(_edges(s, d)),
         "apm_clusters": lambda s, d: _clustered(s, d, "apm")[2],
     }
 
@@ -162,6 +206,7 @@ cand AS (SELECT src, dst, 1 AS label FROM h UNION ALL SELECT DISTINCT src, dst +
 ta AS (SELECT src AS node, dst AS nbr FROM tr UNION ALL SELECT dst, src FROM tr), td AS (SELECT node, count(*) AS d FROM ta GROUP BY ALL),
 co AS (SELECT c.src, c.dst, count(*) AS n FROM cand c JOIN ta x ON x.node = c.src JOIN ta y ON y.node = c.dst AND y.nbr = x.nbr GROUP BY ALL),
 lb AS (SELECT c.src, c.dst, c.label, round(coalesce(co.n, 0) / sqrt(coalesce(p.d, 1) * coalesce(q.d, 1)), 9) AS score FROM cand c LEFT JOIN co USING (src, dst) LEFT JOIN td p ON p.node = c.src LEFT JOIN td q ON q.node = c.dst)"""
+    asked = sc.replace("WHERE NOT EXISTS (FROM e WHERE e.src = x.node AND e.dst = y.node)", "JOIN cand ON cand.src = x.node AND cand.dst = y.node")
     part = """pe AS (SELECT src, dst FROM sc WHERE w1 >= 6), pa AS (SELECT src AS u, dst AS v FROM pe UNION ALL SELECT dst, src FROM pe),
 pl(node, label) AS (SELECT DISTINCT u, u FROM pa UNION SELECT pa.v, pl.label FROM pl JOIN pa ON pa.u = pl.node WHERE pl.label < pa.v)"""
     of = lambda *parts, r="": f"WITH {r}" + ",\n".join(parts) + "\n"
@@ -194,4 +239,16 @@ SELECT count(*) AS community_count, round(avg(s), 9) AS mean_size, round(sum(k)
  round(any_value(covered) / any_value(m), 9) AS coverage, round(avg(2.0 * k / (s * (s - 1))), 9) AS mean_density, round(avg((v - 2 * k) / v::DOUBLE), 9) AS mean_conductance FROM p, m, a""",
         "split_contract": of(e) + ", t AS (SELECT count(*) AS m, greatest(1, round_even(count(*) * 0.15, 0))::BIGINT AS t FROM e) SELECT m - t AS train_edges, t AS test_edges, 0::BIGINT AS moved_nodes, 500::BIGINT AS negatives, 500::BIGINT AS different, 0::BIGINT AS wrong_negatives FROM t",
         "dynamic_ego_edges": of(later, tri, ego) + "SELECT * FROM z",
+        "dynamic_scores": of(later, tri, ego, cc, st, sc, r="RECURSIVE ") + "SELECT src, dst, w1 FROM sc",
+        "dynamic_partition": of(later, tri, ego, cc, st, sc, adj, part, r="RECURSIVE ") + "SELECT node, coalesce(min(label), node) AS community FROM (SELECT src AS node FROM e0 UNION SELECT dst FROM e0) LEFT JOIN pl USING (node) GROUP BY node",
+        "friend_scores_triples": full + "SELECT * FROM sc",
+        "friend_scores_candidates": of(e, tri, ego, cc, st, lab, asked, r="RECURSIVE ") + "SELECT src, dst, nullif(w1, 0) AS w1, nullif(w2, 0) AS w2, nullif(w3, 0) AS w3, nullif(w4, 0) AS w4 FROM sc",
+        "cluster_run_stats": stats
+        + "SELECT count(*) AS ego_cluster_count, "
+        + ", ".join(f"round(avg({k}), 6) AS ego_cluster_mean_{k}" for k in ("size", "density", "conductance"))
+        + "".join(f", round(quantile_cont({k}, {p / 100}), 6) AS ego_cluster_{k}_p{p}" for k in ("density", "conductance") for p in (10, 25, 50, 75, 90))
+        + " FROM st",
+        "partition_pair_scores": labelled
+        + """SELECT lb.src, lb.dst, round(score + (CASE WHEN p.node IS NULL THEN NULL ELSE lb.src % 7 END IS NOT DISTINCT FROM CASE WHEN q.node IS NULL THEN NULL ELSE lb.dst % 7 END)::INT, 6) AS score
+ FROM lb LEFT JOIN td p ON p.node = lb.src LEFT JOIN td q ON q.node = lb.dst""",
     }

@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from ..operators.egonet import adjacency, ego_edges
 
 
+def validated(edges: DataFrame, events: DataFrame) -> DataFrame:
+    """events without loops, if each is an addition, or the removal of an edge that is there when it comes; else ValueError."""
+    pair = events.where("src <> dst").select("seq", "action", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    unknown = pair.where("action IS NULL OR action NOT IN ('add', 'remove')").select("action").head(1)
+    if unknown:
+        raise ValueError(f"unknown action {unknown[0][0]!r}")
+    turn = pair.withColumn("_last", F.lag("action").over(Window.partitionBy("src", "dst").orderBy("seq")))
+    again = turn.where("action = 'remove' AND _last = 'remove'").select("src", "dst")
+    absent = turn.where("action = 'remove' AND _last IS NULL").select("src", "dst").join(edges, ["src", "dst"], "left_anti")
+    missing = again.unionByName(absent).head(1)
+    if missing:
+        raise ValueError(f"removal of an edge that is not there: {tuple(missing[0])}")
+    return pair
+
+
 def net_events(events: DataFrame) -> DataFrame:
     """The last event of each pair in a batch of (seq, action, src, dst); loops go."""
     pair = events.where("src <> dst").select("seq", "action", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
@@ -29,15 +44,23 @@ def affected(before: DataFrame, after: DataFrame, events: DataFrame) -> DataFram
     return last.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(common.select(F.col("nbr").alias("node"))).distinct()
 
 
+def triangle_edges(changed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ego, src < dst): the ego edges of all triangles of edges that hold a changed one (src, dst)."""
+    near = adjacency(edges)
+    common = changed.join(near.select(F.col("node").alias("src"), "nbr"), "src").join(near.select(F.col("node").alias("dst"), "nbr"), ["dst", "nbr"])
+    row = lambda e, a, b: F.struct(F.col(e).alias("ego"), F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    return common.select(F.inline(F.array(row("src", "dst", "nbr"), row("dst", "src", "nbr"), row("nbr", "src", "dst")))).distinct()
+
+
 def refresh(old: DataFrame, before: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, ego edges) after a batch; only affected neighbourhoods are built anew."""
+    """(edges, ego edges) after a batch; a triangle that comes or goes is one ego edge for each of its nodes, and no neighbourhood is listed."""
+    last = net_events(events)
     after = apply_events(before, events)
-    hit = affected(before, after, events)
-    near = adjacency(after)
-    mine = near.join(hit, "node", "left_semi")
-    new = mine.select(F.col("node").alias("ego"), F.col("nbr").alias("src")).join(after, "src").join(mine.select(F.col("node").alias("ego"), F.col("nbr").alias("dst")), ["ego", "dst"], "left_semi")
-    kept = old.join(hit.withColumnRenamed("node", "ego"), "ego", "left_anti")
-    return after, kept.unionByName(new.select("ego", "src", "dst"))
+    pair = ["src", "dst"]
+    lost = triangle_edges(last.where("action = 'remove'").join(before, pair, "left_semi").select(*pair), before)
+    found = triangle_edges(last.where("action = 'add'").join(before, pair, "left_anti").select(*pair), after)
+    kept = old.join(lost, ["ego", *pair], "left_anti")
+    return after, kept.unionByName(found.select(*kept.columns))
 
 
 def maintain(stream: DataFrame, state_dir: str, checkpoint: str):
@@ -48,7 +71,7 @@ def maintain(stream: DataFrame, state_dir: str, checkpoint: str):
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         read = lambda name: spark.read.parquet(f"{state_dir}/{name}/version={number}")
-        after, near = refresh(read("ego_edges"), read("edges"), batch)
+        after, near = refresh(read("ego_edges"), read("edges"), validated(read("edges"), batch))
         after.write.mode("overwrite").parquet(f"{state_dir}/edges/version={number + 1}")
         near.write.mode("overwrite").parquet(f"{state_dir}/ego_edges/version={number + 1}")
 
