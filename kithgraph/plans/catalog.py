@@ -131,7 +131,7 @@ def _partition_pair_scores(spark, d):
     train = e.join(_held(e), ["src", "dst"], "left_anti")
     part = egonet.degrees(train).select("node", (F.col("node") % 7).alias("community"))
     s = features.common_neighbor_scores(train, c.select("src", "dst"), part)
-    return s.select("src", "dst", F.round("score", 6).alias("score"))
+    return s.select("src", "dst", F.round(F.round("score", 9), 6).alias("score"))
 
 
 def _maintained(spark, d) -> tuple[miner.Miner, miner.State]:
