@@ -67,7 +67,7 @@ def equal_windows(held: DataFrame, block: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row; _kithgraph_made has the tables written for it, to be discarded once it is read."""
     items = cut(item_windows(benchmark, size), "windows")
     distinct = cut(items.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()), "distinct-windows")
     # words are kept as one string, which takes half the bytes of an array
@@ -89,7 +89,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     hit = cut(covered.join(listed, "_row"), "hit")
     whole = held.select("_row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(hit, "_row", "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    return whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    out = whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    out._kithgraph_made = [items, distinct, held, rarity, ready, *each, hit]
+    return out
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
