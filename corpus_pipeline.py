@@ -6,6 +6,9 @@ share a doc_id are judged each. All columns of the input come through, whatever
 
 from __future__ import annotations
 
+import itertools
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +16,46 @@ from kithgraph.llm import decontaminate, exact_dedup, near_dedup, packing, quali
 from kithgraph.llm.common import cut, discard, fresh_name, table
 
 
+def by_place(docs: DataFrame, key: str) -> DataFrame | None:
+    """docs, if it is a table of files and no more, with a number per row: the rows of the files before its own, and its place there. Else None.
+
+    Every read of the table gives a row the same number, so that nothing has to be written for it."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    try:
+        meta = docs.metadataColumn("_metadata")
+        file, row = meta.getField("file_path"), meta.getField("row_index")
+        files = docs.select(file.alias("file"), row.alias("row")).groupBy("file").agg(F.count("*").alias("n"), (F.max("row") + 1).alias("end")).orderBy("file").collect()
+    except AnalysisException:  # not all formats number their rows
+        return None
+    if any(f.n != f.end for f in files):  # a file that is read twice
+        return None
+    starts = itertools.accumulate((f.n for f in files), initial=0)
+    name, at = fresh_name(docs, "_file"), fresh_name(docs, "_place")
+    known = docs.sparkSession.createDataFrame([(f.file, n) for f, n in zip(files, starts, strict=False)], f"`{name}` string, `{key}` long")
+    held = docs.select("*", file.alias(name), row.alias(at)).join(F.broadcast(known), name)
+    return held.withColumn(key, F.col(key) + F.col(at)).drop(name, at)
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
-    """(docs with a key per row, the key's name, (doc_id, text) with the key as doc_id); written once, so that the keys stay."""
+    """(docs with a key per row, the key's name, (doc_id, text) with the key as doc_id); what is no table of files is written once, so that the keys stay."""
     key = fresh_name(docs, "_key")
-    held = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    held = by_place(docs, key)
+    if held is None:
+        held = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     return held, key, held.select(F.col(key).alias("doc_id"), "text")
 
 
-def first_rows(held: DataFrame, key: str, groups: DataFrame) -> DataFrame:
-    """Of each group of (doc_id: a row's key, name) the row with the smallest doc_id; null is larger than all, ties go to the first row."""
+def first_rows(held: DataFrame, key: str, groups: DataFrame, name: str) -> DataFrame:
+    """Of each group of (doc_id: a row's key, name) the row with the smallest doc_id; null is larger than all, ties go to the first row.
+
+    The keys are written, and the tables that led to the groups go before texts are moved."""
     ids = held.select(F.col(key).alias("_row"), F.col("doc_id").alias("_id"))
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
-    first = ids.join(groups.select(F.col("doc_id").alias("_row"), F.col("name").alias("_group")), "_row").groupBy("_group").agg(F.min(order).alias("first"))
-    return first.select(F.col("first._row").alias(key))
+    first = ids.join(groups.select(F.col("doc_id").alias("_row"), F.col(name).alias("_group")), "_row").groupBy("_group").agg(F.min(order).alias("first"))
+    kept = cut(first.select(F.col("first._row").alias(key)), "kept")
+    discard(*groups._kithgraph_made)
+    return kept
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +68,14 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, white space aside: that with the smallest doc_id. Null and empty texts are one text."""
     held, key, plain = keyed(docs)
-    kept = first_rows(held, key, exact_dedup.exact_groups(plain).select("doc_id", F.col("keep_id").alias("name")))
+    kept = first_rows(held, key, exact_dedup.exact_groups(plain), "keep_id")
     return held.join(kept, key, "left_semi").select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies: that with the smallest doc_id. Texts without words are no copies."""
     held, key, plain = keyed(docs)
-    kept = first_rows(held, key, near_dedup.near_groups(plain).select("doc_id", F.col("component_id").alias("name")))
+    kept = first_rows(held, key, near_dedup.near_groups(plain), "component_id")
     return held.join(kept, key, "left_semi").select(docs.columns)
 
 
@@ -68,8 +98,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a table of its own, which the next stage reads."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is a table of its own, which the next stage reads and which then goes."""
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*spent)
+        spent = [docs]
     return docs

@@ -127,7 +127,7 @@ def repeated_fingerprints(prints: DataFrame, block_bits: int) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) per row."""
+    """(doc_id, keep_id, group_size, kept, text_sha256) per row; _kithgraph_made has the tables written for it, to be discarded once it is read."""
     prints = cut(fingerprints(docs), "fingerprints")
     blocks = max(prints.count() // BLOCK_ROWS, partitions(docs.sparkSession), 2)
     repeated = cut(repeated_fingerprints(prints, min(20, (blocks - 1).bit_length())), "repeated")
@@ -137,7 +137,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     groups = cut(groups.select(F.sha2(F.col("whole").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
     joined = prints.select("doc_id", "text_sha256").join(groups, "text_sha256", "left")
     keep = F.coalesce("keep_id", F.col("doc_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    out = joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    out._kithgraph_made = [prints, repeated, groups]
+    return out
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

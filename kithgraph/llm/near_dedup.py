@@ -164,7 +164,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     stars = now.select(F.col("b").alias("id"), F.col("a").alias("comp"))
-    return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
+    out = stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
+    out._kithgraph_made = [now]
+    return out
 
 
 def rest_pairs(classes: DataFrame, sets: DataFrame, threshold: int, bits: DataFrame | None = None) -> DataFrame:
@@ -206,9 +208,10 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(id, comp) after links (a, b) between ids; only the components that links join are worked on."""
     for end in ("a", "b"):
         links = links.join(labels.select(F.col("id").alias(end), F.col("comp").alias("_c")), end).drop(end).withColumnRenamed("_c", end)
-    moved = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    found = components(links)
+    moved = found.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
     out = cut(labels.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "components")
-    discard(labels)
+    discard(labels, *found._kithgraph_made)
     return out
 
 
@@ -232,7 +235,9 @@ def star_pairs(held: DataFrame, centres: DataFrame, threshold: int) -> DataFrame
 
 
 def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row; links have a similarity of threshold hundredths at least."""
+    """(doc_id, n_shingles, component_id, kept) per row; links have a similarity of threshold hundredths at least.
+
+    _kithgraph_made has the tables that it reads, to be discarded once it is read."""
     signed = cut(signatures(docs), "signatures")
     filled = signed.where("n_shingles > 0")
     classes = cut(filled.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
@@ -264,22 +269,27 @@ def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
         pairs = cut(star_pairs(held, centres, threshold), "candidates")
         new = confirm(pairs)
         discard(held, centres)
-        tried.append(pairs.select("a", "b"))
+        tried.append(pairs)
         found, turn = new.count(), turn + 1
         goes_on = found > 0 and found * STOP >= pairs.count()
         if found:
             labels = merged(labels, new)
+        discard(new)
     rest = cut(held.join(centres.select("band", "key"), ["band", "key"]).select("id", "n_shingles", "comp").distinct(), "rest")
     discard(held, centres)
     if not rest.isEmpty():
-        new = confirm(rest_pairs(rest, sets, threshold, sets.select("id", "bits")).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"))
+        pairs = rest_pairs(rest, sets, threshold, sets.select("id", "bits"))
+        new = confirm(pairs.join(reduce(DataFrame.unionByName, (t.select("a", "b") for t in tried)), ["a", "b"], "left_anti"))
         if not new.isEmpty():
             labels = merged(labels, new)
-    discard(entries, sets)
+        discard(pairs, new)
+    discard(entries, sets, asked, rest, *tried)
     ids = cut(classes.join(labels, "id", "left").select("set_hash", "n_shingles", F.coalesce("comp", "id").alias("component_id")), "class-components")
     out = signed.select("doc_id", "n_shingles", "set_hash").join(ids, ["set_hash", "n_shingles"], "left")
     comp = F.coalesce("component_id", F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    out = out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    out._kithgraph_made = [signed, classes, labels, ids]
+    return out
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
